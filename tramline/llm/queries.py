@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import minhash_dedup, quality_rules, secret_scan
+from . import minhash_dedup, quality_rules, secret_scan, substring_dedup
 
 QUERIES = {
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op1_minhash_dedup": minhash_dedup.op1_minhash_dedup,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op8_secret_scan": secret_scan.op8_secret_scan,
 }
 SQL = {
+    "op6_substring_dedup": substring_dedup.SQL,
     "op1_minhash_dedup": minhash_dedup.SQL,
     "op2_quality_rules": quality_rules.SQL,
     "op8_secret_scan": secret_scan.SQL,
