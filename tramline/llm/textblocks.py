@@ -7,11 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 BLOCK_BYTES = 2 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: For comparing wording only: everything in ASCII but letters and digits separates words.
+_LOOSE = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _random = np.random.Generator(np.random.PCG64(20240607))
@@ -92,11 +95,12 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def block(column: pa.Array, lower: bool = False) -> Block:
-    data, rows = bytes_of(column)
+def block(column: pa.Array, lower: bool = False, loose: bool = False) -> Block:
+    """``lower`` folds A-Z; ``loose`` folds the case of all letters and lets ASCII punctuation separate words."""
+    data, rows = bytes_of(pc.utf8_lower(column) if loose else column)
     if lower:
         data = _LOWER[data]
-    space = _SPACE[data]
+    space = (_LOOSE if loose else _SPACE)[data]
     n = len(data)
     edge = np.zeros(n + 1, bool)
     edge[rows] = True
