@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, minhash_dedup, pieces, quality_rules, secret_scan, substring_dedup
+from . import decontaminate, language_id, minhash_dedup, pieces, quality_rules, secret_scan, substring_dedup
 
 QUERIES = {
+    "op3_language_id": language_id.op3_language_id,
     "op5_pieces": pieces.op5_pieces,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
