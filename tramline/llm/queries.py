@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, minhash_dedup, pieces, quality_rules, secret_scan, substring_dedup
+from . import decontaminate, language_id, minhash_dedup, pieces, quality_classifier, quality_rules, secret_scan, substring_dedup
 
 QUERIES = {
+    "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op3_language_id": language_id.op3_language_id,
     "op5_pieces": pieces.op5_pieces,
     "op7_decontaminate": decontaminate.op7_decontaminate,
