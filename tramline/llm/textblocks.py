@@ -72,6 +72,12 @@ class Block:
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.rows) - 1), np.diff(self.offsets))
 
+    def hashes_of_rows(self) -> np.ndarray:
+        """The word hash of rows that are one word or empty."""
+        out = np.zeros(len(self.rows) - 1, U)
+        out[np.diff(self.offsets) == 1] = self.hashes
+        return out
+
     def text(self, row: int) -> bytes:
         return self.data[self.rows[row] : self.rows[row + 1]].tobytes()
 
