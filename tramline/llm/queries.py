@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, minhash_dedup, pieces, pitman_yor, quality_classifier, quality_rules, secret_scan, substring_dedup
+from . import decontaminate, language_id, minhash_dedup, personal_data, pieces, pitman_yor, quality_classifier, quality_rules, secret_scan, substring_dedup
 
 QUERIES = {
+    "op4_personal_data": personal_data.op4_personal_data,
     "op10_pitman_yor": pitman_yor.op10_pitman_yor,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op3_language_id": language_id.op3_language_id,
