@@ -281,5 +281,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
+def _drop(pack) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch):
+                b = block(part.column("text"), loose=True)
+                clean = np.ones(part.num_rows, bool)
+                clean[[r for index in pack.value for r, *_ in leaks(b, index)]] = False
+                yield part.filter(pa.array(clean))
+
+    return run
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that leak no item: one pass for each pack of the index, without a shuffle."""
+    for pack in packs(benchmark):
+        docs = docs.mapInArrow(_drop(docs.sparkSession.sparkContext.broadcast(pack)), docs.schema)
+    return docs
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

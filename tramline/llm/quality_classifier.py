@@ -182,6 +182,23 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     return rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, held_out boolean, score double, predicted int")
 
 
+def _keep(shared) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            for part in pieces(batch):
+                x, offsets = passages(block(part.column("text")))
+                p, _ = _forward(m, (x - m["mean"]) / m["std"], offsets)
+                yield part.filter(pa.array(p >= THRESHOLD))
+
+    return run
+
+
+def kept(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows of ``docs`` whose text the model predicts as label 1, in one pass and without a shuffle."""
+    return docs.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(model)), docs.schema)
+
+
 def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels that may be learned from."""
     return spark.read.parquet(f"{sf_dir}/labels.parquet").where(remainder(F.col("doc_id"), 4) != 2)
