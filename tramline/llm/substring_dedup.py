@@ -186,10 +186,13 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     rows = stored(docs.mapInArrow(_scan, _ROWS), "texts-scanned")
     long = rows.where(f"n_words >= {WINDOW} and doc_id is not null")
     classes = long.groupBy("text_key").agg(F.min("doc_id").alias("rep"))
-    marks = long.select(F.explode("anchors").alias("anchor"), "text_key").distinct()
-    shared = stored(marks.groupBy("anchor").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).where("lo <> hi").select("anchor"), "shared-anchors")
-    by_text = marks.join(shared, "anchor").groupBy("text_key").agg(F.collect_list("anchor").alias("anchors"))
-    held = by_text.join(classes, "text_key").select(F.col("rep").alias("doc_id"), "anchors")
+    # Anchors carry 64 bits of the text's key; equal texts give equal rows, which the set below takes as one.
+    short = F.xxhash64("text_key").alias("short_key")
+    marks = long.select(F.explode("anchors").alias("anchor"), short)
+    shared = stored(marks.groupBy("anchor").agg(F.min("short_key").alias("lo"), F.max("short_key").alias("hi")).where("lo <> hi").select("anchor"), "shared-anchors")
+    by_text = stored(marks.join(shared, "anchor").groupBy("short_key").agg(F.collect_set("anchor").alias("anchors")), "anchors-of-texts")
+    release(spark)
+    held = by_text.join(classes.select("rep", short), "short_key").select(F.col("rep").alias("doc_id"), "anchors")
     texts = stored(docs.join(held, "doc_id").dropDuplicates(["doc_id"]), "anchored-texts")
     release(spark)
     edges = stored(texts.mapInArrow(_edges, _EDGES), "edges")
@@ -206,8 +209,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     listed = paths.groupBy("source").agg(F.collect_list(F.struct("start", "length", "head")).alias("paths"))
     heads = stored(listed.join(texts.select("doc_id", "text"), F.col("source") == F.col("doc_id")).drop("source").mapInArrow(_measure, _PATHS), "paths")
     release(spark)
-    visits = edges.select(F.col("edge").alias("head"), "doc_id").distinct().join(heads, "head").where("source < doc_id")
-    cut = visits.groupBy("doc_id").agg(F.collect_list(F.struct("head", "length", "digest")).alias("paths"))
+    visits = edges.select(F.col("edge").alias("head"), "doc_id").join(heads, "head").where("source < doc_id")
+    cut = visits.groupBy("doc_id").agg(F.collect_set(F.struct("head", "length", "digest")).alias("paths"))
     removed = stored(texts.select("doc_id", "text").join(cut, "doc_id").mapInArrow(_cut, _CUT), "removed")
     found = classes.join(removed, F.col("rep") == F.col("doc_id"), "left").select(F.col("text_key").alias("class_key"), "rep", "n_removed", "kept_sha256", "spans")
     out = rows.drop("anchors").join(found, F.col("text_key") == F.col("class_key"), "left")
