@@ -249,9 +249,9 @@ def test_classifier(spark, docs):
 
 
 def test_pitman_yor(spark, docs):
-    vocabulary = prose(1, 400)
+    vocabulary = sorted(set(prose(1, 6000)))
     r = random.Random(6)
-    texts = {i: " ".join(r.choice(vocabulary[: 20 + i]) for _ in range(80)) for i in range(100)}
+    texts = {i: " ".join(r.choices(vocabulary, [1 / k for k in range(1, len(vocabulary) + 1)], k=80)) for i in range(100)}
     out = {r["doc_id"]: r for r in pitman_yor.scores(docs(texts)).collect()}
     count = Counter()
     for i, t in texts.items():
