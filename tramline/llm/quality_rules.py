@@ -14,17 +14,17 @@ from .shared import SPACES, bind, documents, words
 SYMBOLS = "#*$%&|<>"
 #: Frequent function words of the languages served.
 STOP_WORDS = ("the of and to in is that for it as was with be by on this from or an are und der die das den dem in zu mit von für auf nicht ist ein eine sich als im et le la les de des du un une en que est dans pour au par sur avec pas el los las y se con una su para no por lo").split()
-#: (metric, comparison, metric it is a share of or None, bound): a text passes if metric * 1000 <op> bound * other.
+#: (metric, comparison, metric it is a share of or None, bound, slack): a text passes if (metric + slack) * 1000 <op> bound * other.
 RULES = (
-    ("n_words", ">=", None, 10),
-    ("word_chars", ">=", "n_words", 2000),  # mean word length
-    ("word_chars", "<=", "n_words", 14000),
-    ("n_symbols", "<=", "n_words", 150),
-    ("n_upper", "<=", "word_chars", 300),
-    ("n_bangs", "<=", "n_words", 200),
-    ("n_dup_lines", "<=", "n_lines", 400),
-    ("n_stop_words", ">=", "n_words", 30),
-    ("n_repeat_words", "<=", "n_words", 200),
+    ("n_words", ">=", None, 10, 0),
+    ("word_chars", ">=", "n_words", 2000, 0),  # mean word length
+    ("word_chars", "<=", "n_words", 14000, 0),
+    ("n_symbols", "<=", "n_words", 150, 0),
+    ("n_upper", "<=", "word_chars", 300, 0),
+    ("n_bangs", "<=", "n_words", 200, 0),
+    ("n_dup_lines", "<=", "n_lines", 400, 0),
+    ("n_stop_words", ">=", "n_words", 30, 2),
+    ("n_repeat_words", "<=", "n_words", 200, 0),
 )
 REPEAT = 5
 
@@ -82,8 +82,8 @@ def score_rules(docs: DataFrame, rules=RULES, id_column: str = "doc_id", text_co
     base = docs.select(F.col(id_column).alias("doc_id"), *[c.alias(k) for k, c in m.items()])
     base = base.select("doc_id", "shape.*", "line_shape.*", "word_chars", "n_symbols", "n_upper", "n_bangs")
 
-    def holds(metric: str, op: str, other: str | None, bound: int) -> Column:
-        left = F.col(metric) if other is None else F.col(metric) * 1000
+    def holds(metric: str, op: str, other: str | None, bound: int, slack: int) -> Column:
+        left = F.col(metric) + slack if other is None else (F.col(metric) + slack) * 1000
         right = F.lit(bound) if other is None else F.col(other) * bound
         return left >= right if op == ">=" else left <= right
 
@@ -97,8 +97,8 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_rules(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_upper", "n_bangs", "n_stop_words", "failed_rules")
 
 
-def _sql_rule(metric: str, op: str, other: str | None, bound: int) -> str:
-    left, right = (metric, str(bound)) if other is None else (f"{metric} * 1000", f"{other} * {bound}")
+def _sql_rule(metric: str, op: str, other: str | None, bound: int, slack: int) -> str:
+    left, right = (f"({metric} + {slack})", str(bound)) if other is None else (f"({metric} + {slack}) * 1000", f"{other} * {bound}")
     return f"CASE WHEN NOT ({left} {op} {right}) THEN '{metric}{op}{bound}' END"
 
 
