@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import text as T
 from ..operators import calendar, candidates, checks, network, paths, timetable
+from ..sources.gtfs import route_mode
 from . import views as V
 
 QUERIES: dict = {}
@@ -430,3 +431,112 @@ def schedule_counts(spark: SparkSession, d: str) -> DataFrame:
 def modes_by_link(spark: SparkSession, d: str) -> DataFrame:
     links = V.links(spark, d).select("link_id").withColumn("modes", F.array().cast("array<string>"))
     return network.schedule_modes(_route_links(spark, d).select("link_id", "mode"), links).where(F.size("modes") > 0).select("link_id", F.array_join("modes", ",").alias("modes"))
+
+
+# Lists, ids and codes ----------------------------------------------------------------------------------------------
+
+_LISTED = """listed AS (SELECT trip_id, list(stop_id ORDER BY seq) AS s FROM stop_times GROUP BY 1)"""
+
+
+def _listed(spark, d) -> DataFrame:
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("seq", "stop_id"))), lambda x: x["stop_id"].cast("string"))
+    return V.stop_times(spark, d).groupBy("trip_id").agg(rows.alias("s"))
+
+
+@query(_with(V.STOP_TIMES, _LISTED) + """SELECT trip_id, len(list_distinct(s)) < len(s) AS repeats, array_to_string(s, ',') AS stops, array_to_string(s[1:greatest(len(s) - 1, 0)], ',') AS until_last,
+  list_has_any(s, [1, 2, 3]) AS near_start, array_to_string(list_filter(list_distinct(s), lambda x: list_contains([1, 2, 3, 5, 8], x)).list_sort(), ',') AS shared FROM listed""")
+def stop_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Repeats, parts and shared entries of the stop lists of trips."""
+    some = lambda *x: F.array(*[F.lit(str(i)) for i in x])
+    shared = F.array_sort(F.transform(T.shared("s", some(1, 2, 3, 5, 8)), lambda x: x.cast("long")))
+    return _listed(spark, d).select(
+        "trip_id", T.has_repeat("s").alias("repeats"), T.comma_list("s").alias("stops"), F.array_join(F.slice("s", 1, F.greatest(F.size("s") - 1, F.lit(0))), ",").alias("until_last"),
+        T.any_shared("s", some(1, 2, 3)).alias("near_start"), F.array_join(F.transform(shared, lambda x: x.cast("string")), ",").alias("shared"))
+
+
+@query(_with(V.STOP_TIMES) + """SELECT trip_id, seq, concat(stop_id, '.link:', trip_id, '_', seq) AS child, stop_id::VARCHAR AS parent, concat(trip_id, '_', seq) AS link, concat('pt_', stop_id, '_', seq) AS artificial FROM stop_times""")
+def stop_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of child stops and artificial links, and what is read back from them."""
+    text = lambda c: F.col(c).cast("string")
+    child = T.child_stop(text("stop_id"), F.concat_ws("_", "trip_id", "seq"))
+    out = V.stop_times(spark, d).select("trip_id", "seq", child.alias("child"), T.artificial_link(text("stop_id"), text("seq")).alias("artificial"))
+    return out.withColumn("parent", T.parent_stop("child")).withColumn("link", T.child_link("child"))
+
+
+@query("""SELECT p_partkey AS k, CASE WHEN c IN (0) THEN 'tram' WHEN c = 1 THEN 'subway' WHEN c = 2 THEN 'rail' WHEN c = 3 THEN 'bus' WHEN c = 4 THEN 'ferry' WHEN c = 5 THEN 'cable car' WHEN c = 6 THEN 'gondola' WHEN c = 7 THEN 'funicular'
+  WHEN c = 11 THEN 'trolleybus' WHEN c = 12 THEN 'monorail' WHEN c = 907 THEN 'other' WHEN c BETWEEN 100 AND 499 THEN 'rail' WHEN c BETWEEN 500 AND 699 THEN 'subway' WHEN c BETWEEN 700 AND 899 THEN 'bus' WHEN c BETWEEN 900 AND 999 THEN 'tram'
+  WHEN c BETWEEN 1000 AND 1099 OR c BETWEEN 1200 AND 1299 THEN 'ferry' WHEN c BETWEEN 1300 AND 1399 THEN 'gondola' WHEN c BETWEEN 1400 AND 1499 THEN 'funicular' ELSE 'other' END AS mode
+FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_size ELSE p_size * 37 END AS c FROM part)""")
+def route_modes(spark: SparkSession, d: str) -> DataFrame:
+    code = F.when(F.col("p_partkey") % 2 == 0, F.col("p_size")).otherwise(F.col("p_size") * 37)
+    return V.table(spark, d, "part").select(F.col("p_partkey").alias("k"), route_mode(code.cast("string")).alias("mode"))
+
+
+@query("""SELECT p_partkey AS trip_id, unnest(list_transform(range(0, p_size % 5 + 1), lambda i: p_size * 600 + i * (p_size % 30 + 1) * 60 - 60))::BIGINT AS departure FROM part""")
+def cyclic_departures(spark: SparkSession, d: str) -> DataFrame:
+    times = T.hafas_departures(F.col("p_size") * 600, F.col("p_size") % 5, F.col("p_size") % 30 + 1)
+    return V.table(spark, d, "part").select(F.col("p_partkey").alias("trip_id"), F.explode(times).alias("departure")).withColumn("departure", F.col("departure").cast("long"))
+
+
+@query("""SELECT c_custkey AS k, printf('%X', c_custkey * 7919) AS hex, printf('%b', c_custkey * 7919) AS short, len(printf('%X', c_custkey * 7919)) * 4 AS n FROM customer WHERE c_custkey > 0""")
+def hex_bits(spark: SparkSession, d: str) -> DataFrame:
+    out = V.table(spark, d, "customer").where("c_custkey > 0").select(F.col("c_custkey").alias("k"), F.hex(F.col("c_custkey") * 7919).alias("hex"))
+    bits = T.bits_of_hex("hex")
+    return out.select("k", "hex", F.regexp_replace(bits, "^0+", "").alias("short"), F.length(bits).cast("long").alias("n"))
+
+
+@query(_with(V.STOPS, V.STOP_TIMES) + "SELECT stop_id FROM stops WHERE stop_id NOT IN (SELECT stop_id FROM stop_times WHERE trip_id < 30)")
+def unused_stops(spark: SparkSession, d: str) -> DataFrame:
+    return timetable.unused_stops(V.stops(spark, d), V.stop_times(spark, d).where("trip_id < 30")).select("stop_id")
+
+
+@query(_with(V.STOPS, V.STOP_TIMES, V.TRIPS, V.LINKS, _ROUTE_LINKS) + """,st AS (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY seq) AS i FROM stop_times),
+sec AS (SELECT r.line_id, r.route_id, r.idx, r.length, b.arrival - a.arrival AS expected FROM route_links r JOIN st a ON a.trip_id = r.route_id AND a.seq = r.idx JOIN st b ON b.trip_id = r.route_id AND b.i = a.i + 1),
+pos AS (SELECT *, row_number() OVER (PARTITION BY line_id, route_id ORDER BY idx) AS n, count(*) OVER (PARTITION BY line_id, route_id) AS m FROM sec),
+whole AS (SELECT * FROM pos WHERE m = (SELECT count(*) - 1 FROM st WHERE st.trip_id = pos.route_id))
+SELECT line_id, route_id, n AS section, expected, round(length * 2, 6) AS actual FROM whole WHERE n < m AND expected > 0 AND length * 2 > expected + 65""")
+def slow_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Sections between stops that take longer on the links than in the timetable, of routes whose stops all lie on links."""
+    rl = _route_links(spark, d)
+    st = V.stop_times(spark, d).join(V.trips(spark, d).select("trip_id", "line_id"), "trip_id").withColumnRenamed("trip_id", "route_id")
+    n = st.groupBy("line_id", "route_id").agg((F.count("*") - 1).alias("n"))
+    full = rl.groupBy("line_id", "route_id").agg(F.count("*").alias("m")).join(n, ["line_id", "route_id"]).where("n = m").select("line_id", "route_id")
+    # A stop lies on the link that leaves it; the time of a section is that of the link between.
+    on = st.join(rl.select("line_id", "route_id", F.col("idx").alias("seq"), "link_id"), ["line_id", "route_id", "seq"]).join(full, ["line_id", "route_id"], "left_semi")
+    stops = on.select("line_id", "route_id", F.col("seq").alias("idx"), "link_id", F.col("arrival").alias("departure_offset"))
+    w = W.partitionBy("line_id", "route_id").orderBy("idx")
+    links = rl.join(full, ["line_id", "route_id"], "left_semi").withColumn("seconds", F.lag("length").over(w) * 2)
+    out = checks.travel_times(stops, links.select("line_id", "route_id", "idx", "link_id", "seconds"))
+    return out.withColumn("section", F.col("section").cast("long")).withColumn("expected", F.col("expected").cast("long")).withColumn("actual", F.round("actual", 6))
+
+
+@query(_with(*_NET) + """SELECT DISTINCT concat('pt_', a.link_id, '_', b.link_id) AS link_id, a.to_node AS from_node, b.from_node AS to_node, round(greatest(1.0, sqrt(pow(b.fx - a.tx, 2) + pow(b.fy - a.ty, 2))), 6) AS length
+FROM links a JOIN links b ON a.from_node + 1 = b.from_node WHERE a.uses > 2 AND b.uses > 2 AND a.from_node < 200""")
+def artificial_links(spark: SparkSession, d: str) -> DataFrame:
+    few = V.links(spark, d).where("uses > 2")
+    a = few.where("from_node < 200").select(F.col("link_id").alias("a"), F.col("from_node").alias("k"), F.col("to_node").alias("a_to"), F.col("tx").alias("ax"), F.col("ty").alias("ay"))
+    b = few.select(F.col("link_id").alias("b"), (F.col("from_node") - 1).alias("k"), F.col("from_node").alias("b_from"), F.col("fx").alias("bx"), F.col("fy").alias("by"))
+    return candidates.artificial_links(a.join(b, "k")).select("link_id", "from_node", "to_node", F.round("length", 6).alias("length"))
+
+
+@query(_with(*_NET) + "SELECT link_id, round(length / (10 + uses), 6) AS seconds, round(CASE WHEN length / 100 + 0.1 > 1 THEN 3 ELSE length / 100 + 0.1 END * length, 6) AS shaped FROM links")
+def travel_costs(spark: SparkSession, d: str) -> DataFrame:
+    return V.links(spark, d).select("link_id", F.round(G.travel_cost("length", F.col("uses") + 10, by_time=True), 6).alias("seconds"), F.round(G.shape_weighted(F.col("length"), F.col("length"), 100.0), 6).alias("shaped"))
+
+
+@query(_with(V.STOPS, V.STOP_TIMES, V.TRIPS, V.LINKS, _ROUTE_LINKS) + """SELECT link_id, round(greatest(10.0, coalesce(ceil(max(CASE WHEN mode = 'BUILDING' THEN length / (60 + idx) * 1.02 END)), 10.0)), 6) AS freespeed FROM route_links GROUP BY 1""")
+def required_speeds(spark: SparkSession, d: str) -> DataFrame:
+    """Free speeds raised to what the timetable needs."""
+    rl = _route_links(spark, d)
+    links = rl.select("link_id").distinct().withColumn("freespeed", F.lit(10.0))
+    return network.required_speeds(rl.select("link_id", "mode", "length", (F.col("idx") + 60.0).alias("seconds")), links, ["BUILDING"])
+
+
+@query(_with(V.STOPS, V.STOP_TIMES, V.TRIPS, V.LINKS, _ROUTE_LINKS) + """,used AS (SELECT DISTINCT link_id, from_node, to_node FROM route_links WHERE mode = 'MACHINERY'),
+needed AS (SELECT link_id FROM used UNION SELECT l.link_id FROM links l JOIN used u ON l.from_node = u.to_node AND l.to_node = u.from_node)
+SELECT link_id, CASE WHEN link_id IN (SELECT link_id FROM needed) THEN CASE WHEN uses % 2 = 0 THEN 'car,pt' ELSE 'pt' END ELSE 'car' END AS modes FROM links WHERE link_id IN (SELECT link_id FROM needed) OR uses % 2 = 0""")
+def reduced_network(spark: SparkSession, d: str) -> DataFrame:
+    """Links that routes of one mode need, and what cars keep."""
+    links = V.links(spark, d).withColumn("modes", F.when(F.col("uses") % 2 == 0, F.array(F.lit("car"), F.lit("pt"))).otherwise(F.array(F.lit("pt"))))
+    out = network.without_unused(links, _route_links(spark, d).where("mode = 'MACHINERY'").select("link_id"), ["car"])
+    return out.select("link_id", F.array_join("modes", ",").alias("modes"))
