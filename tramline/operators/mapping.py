@@ -103,6 +103,22 @@ def pulled(route_links: DataFrame, route_stops: DataFrame, links: DataFrame) ->
     return d.groupBy("line_id", "route_id", "idx").agg(best).select("line_id", "route_id", "idx", F.col("best.at").alias("link_idx"), F.col("best.link_id").alias("link_id"), (F.col("best.step") != 0).alias("moved"))
 
 
+def pull_all(route_links: DataFrame, route_stops: DataFrame, links: DataFrame, passes: int = 20) -> DataFrame:
+    """Pull stops until none moves any more, or for so many passes. Routes that visit a parent stop twice are left as they are."""
+    parent = T.parent_stop("stop_id")
+    twice = route_stops.groupBy("line_id", "route_id").agg((F.countDistinct(parent) < F.count("*")).alias("twice")).where("twice").select("line_id", "route_id")
+    fixed = route_stops.join(twice, ["line_id", "route_id"], "left_semi")
+    free = stored(route_stops.join(twice, ["line_id", "route_id"], "left_anti"), "pulled")
+    for _ in range(passes):
+        step = stored(pulled(route_links, free, links), "pulled")
+        if step.where("moved").limit(1).count() == 0:
+            break
+        moved = step.select("line_id", "route_id", "idx", F.col("link_idx").alias("_at"), F.col("link_id").alias("_link"))
+        free = free.join(moved, ["line_id", "route_id", "idx"], "left").withColumn("link_idx", F.coalesce("_at", "link_idx"))
+        free = stored(free.withColumn("stop_id", F.when(F.col("_link").isNotNull(), T.child_stop(parent, F.col("_link").cast("string"))).otherwise(F.col("stop_id"))).drop("_at", "_link"), "pulled")
+    return free.unionByName(fixed.select(free.columns))
+
+
 def summary(sequences: DataFrame) -> DataFrame:
     """How many routes have artificial links, and how many such links there are."""
     return mapping_summary(sequences.select("line_id", "route_id", F.explode("link_ids").alias("link_id")))

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
 from ..functions import text as T
 from ..storage import stored
+from . import candidates
 
 MOST_ROUNDS = 10_000
 
@@ -167,3 +169,56 @@ def largest_component(links: DataFrame) -> DataFrame:
     best = comp.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
     nodes = comp.join(best, "component", "left_semi").select("node_id")
     return links.join(nodes, F.col("from_node") == F.col("node_id"), "left_semi").join(nodes, F.col("to_node") == F.col("node_id"), "left_semi")
+
+
+def near_line(nodes: DataFrame, shapes: DataFrame, buffer: float) -> DataFrame:
+    """(shape_id, node_id): nodes within a buffer of a shape (shape_id, points), by sample points every half buffer.
+
+    Points and nodes meet in grid cells as large as the buffer, so a node is only compared with points of the cells around it.
+    """
+    steps = shapes.select("shape_id", F.posexplode(F.slice("points", 1, F.greatest(F.size("points") - 1, F.lit(0)))).alias("i", "a"), "points").withColumn("b", F.col("points")[F.col("i") + 1])
+    n = F.greatest(F.lit(1), F.ceil(G.distance("a.x", "a.y", "b.x", "b.y") / (buffer / 2)).cast("int"))
+    each = steps.withColumn("n", n).select("shape_id", "a", "b", "n", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("k"))
+    t = F.col("k") / F.col("n")
+    at = each.select("shape_id", (F.col("a.x") + t * (F.col("b.x") - F.col("a.x"))).alias("px"), (F.col("a.y") + t * (F.col("b.y") - F.col("a.y"))).alias("py")).distinct()
+    cell = lambda c: F.floor(F.col(c) / buffer)
+    around = at.withColumn("cx", F.explode(F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]), lambda i: cell("px") + i))).withColumn("cy", F.explode(F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]), lambda i: cell("py") + i)))
+    return nodes.withColumn("cx", cell("x")).withColumn("cy", cell("y")).join(around, ["cx", "cy"]).where(G.distance("x", "y", "px", "py") <= buffer).select("shape_id", "node_id").distinct()
+
+
+def shape_networks(links: DataFrame, nodes: DataFrame, shapes: DataFrame, buffer: float) -> DataFrame:
+    """(shape_id, link_id, ...): the part of the network around each shape."""
+    near = near_line(nodes, shapes, buffer)
+    a, b = near.toDF("shape_id", "from_node"), near.toDF("shape_id", "to_node")
+    return links.join(a, "from_node").join(b, ["shape_id", "to_node"])
+
+
+def start_loops(route_links: DataFrame, links: DataFrame) -> DataFrame:
+    """Links of no length at the first node of every route, once for each node."""
+    first = route_links.groupBy("line_id", "route_id").agg(F.min_by("link_id", "idx").alias("link_id")).join(links.select("link_id", "from_node"), "link_id")
+    node = F.col("from_node").cast("string")
+    return first.select(F.concat(F.lit("loop_"), node).alias("link_id"), F.col("from_node"), F.col("from_node").alias("to_node"), F.lit(0.0).alias("length"), F.array(F.lit("loop")).alias("modes")).distinct()
+
+
+def connected(isolated: DataFrame, links: DataFrame, freespeed: float = 10.0) -> DataFrame:
+    """Links both ways between nodes (stop_id, x, y) that no link touches and the start of the link nearest to each."""
+    near = candidates.nearest(isolated, links).join(links.select("link_id", F.col("from_node").alias("node"), F.col("fx").alias("nx"), F.col("fy").alias("ny")), "link_id")
+    both = near.join(isolated, "stop_id").withColumn("length", F.greatest(F.lit(1.0), G.distance("x", "y", "nx", "ny")))
+    stop, node = F.col("stop_id").cast("string"), F.col("node").cast("string")
+    one = lambda a, b: both.select(F.concat_ws("_", F.lit("pseudo"), a, b).alias("link_id"), a.alias("from_node"), b.alias("to_node"), "length", F.lit(freespeed).alias("freespeed"))
+    return one(stop, node).unionByName(one(node, stop))
+
+
+def replaced_modes(links: DataFrame, old: str, new: list[str]) -> DataFrame:
+    """A mode exchanged for others, for instance car for car and pt."""
+    others = F.array_except("modes", F.array(F.lit(old)))
+    return links.withColumn("modes", F.when(F.array_contains("modes", old), F.array_union(others, F.array(*[F.lit(m) for m in new]))).otherwise(F.col("modes")))
+
+
+def with_freespeed(links: DataFrame, mode: str, freespeed: float) -> DataFrame:
+    return links.withColumn("freespeed", F.when(F.array_contains("modes", mode), F.lit(freespeed)).otherwise(F.col("freespeed")))
+
+
+def artificial_lengths(links: DataFrame) -> DataFrame:
+    """Artificial links take the distance of their ends as length, 1 at least."""
+    return links.withColumn("length", F.when(F.array_contains("modes", "artificial"), F.greatest(F.lit(1.0), G.distance("fx", "fy", "tx", "ty"))).otherwise(F.col("length")))

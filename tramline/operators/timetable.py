@@ -141,3 +141,19 @@ def paired(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs the i-th row by time of each side within the keys; surplus rows have no partner and go."""
     rank = lambda df, n: df.withColumn("_i", F.row_number().over(W.partitionBy(*keys).orderBy("time", "departure_id"))).select(*keys, "_i", F.col("departure_id").alias(f"{n}_departure"), F.col("time").alias(f"{n}_time"))
     return rank(first, "first").join(rank(second, "second"), [*keys, "_i"]).drop("_i")
+
+
+def one_route(route_stops: DataFrame, line: str, route: str = "*") -> DataFrame:
+    """One route of a line, or all of them."""
+    return route_stops.where((F.col("line_id") == line) & (F.lit(True) if route == "*" else F.col("route_id") == route))
+
+
+def sampled_routes(route_stops: DataFrame, n: int, seed: int = 1) -> DataFrame:
+    """About n routes, by a hash of line and route, whole."""
+    total = route_stops.select("line_id", "route_id").distinct().count()
+    lot = F.pmod(F.xxhash64("line_id", "route_id", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    return route_stops.where(lot <= n / max(total, 1))
+
+
+def without_mode(route_stops: DataFrame, modes: list[str]) -> DataFrame:
+    return route_stops.where(~F.col("mode").isin(modes))
