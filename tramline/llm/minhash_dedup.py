@@ -3,33 +3,44 @@
 1. One pass over the texts makes shingle sets, ``ROWS * BANDS`` minima, a hash of each band and one byte of each
    minimum (the signature). Texts with equal words are one class, held by its least id; only classes go on.
 2. In each bucket of a band every class is linked to the least one; the candidate with most bands in common is
-   verified first. Components of these links leave few buckets that hold more than one component.
+   verified first. Then a few rounds link what is outside of the component of a bucket's pivot to the nearest pivot.
+   Components of these links leave few buckets that hold more than one component.
 3. In those buckets the pairs *between* components are compared, so that no link is lost and no pair within a
-   component is ever made. Components are then taken over all links.
+   component is ever made. One bit of each of 384 minima makes a sketch; what the sketches of a component have in
+   common bounds the distance of all its members from another component, and only components that can be near
+   enough meet. Jaccard distance obeys the triangle inequality, so two texts whose exact distances from their common
+   first candidate differ by more than a link allows aren't compared. Nor are texts that have too many shingles to
+   themselves: of two texts' shingles only those that some other text has too can be in both. Components are then taken
+   over all links.
 
-A pair of similarity s shares no band with probability (1 - s ** ROWS) ** BANDS: 1.2e-7 at 0.8.
+A pair of similarity s shares no band with probability (1 - s ** ROWS) ** BANDS: 1.9e-6 at 0.8.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
 from .shared import documents, release, stored
 from .textblocks import Block, U, block, mix, pieces
 
-ROWS, BANDS = 5, 40
+ROWS, BANDS = 7, 56
 SHINGLE = 4
 #: Links have 100 * intersection >= LEAST * union.
 LEAST = 80
-#: Candidates whose signatures agree on a lower share are not verified: over five standard errors below LEAST.
-SIGNATURE_SHARE = 0.64
+#: Candidates whose signatures agree on a lower share are not verified: five standard errors below LEAST.
+SIGNATURE_SHARE = 0.70
+#: Sketches of a link differ in a tenth of their 384 bits; this is four and a half standard errors more.
+SKETCH_LONGS, SKETCH_FAR = 6, 65
+#: Rounds with pivots before all remaining pairs of components are compared.
+ROUNDS = 1
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _A = _rng.integers(0, 2**31, ROWS * BANDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -71,7 +82,8 @@ def minima(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-_SIGNED = "doc_id long, n_shingles long, text_key binary, bands array<long>, signature binary"
+_SKETCH = [f"s{j}" for j in range(SKETCH_LONGS)]
+_SIGNED = "doc_id long, n_shingles long, text_key binary, bands array<long>, signature binary, " + ", ".join(f"s{j} long" for j in range(SKETCH_LONGS))
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,6 +101,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.cumsum(np.where(n > 0, BANDS, 0), out=ends[1:])
             full = np.cumsum(n > 0) - 1
             small = (m & np.uint32(255)).astype(np.uint8)
+            # The low bit of a minimum is that of one value; a higher bit of its product with an odd number is as good as random.
+            bits = ((m[:, : 64 * SKETCH_LONGS] * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8)
+            sketch = np.zeros((part.num_rows, SKETCH_LONGS), np.int64)
+            sketch[n > 0] = np.packbits(bits, axis=1).view(np.int64)
             keys = [hashlib.blake2b(b" ".join(b.text(r).split()), digest_size=16).digest() for r in range(part.num_rows)]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -97,8 +113,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(keys, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.reshape(-1).view(np.int64))),
                     pa.array([small[full[r]].tobytes() if n[r] else b"" for r in range(part.num_rows)], pa.binary()),
+                    *[pa.array(np.ascontiguousarray(sketch[:, j])) for j in range(SKETCH_LONGS)],
                 ],
-                names=["doc_id", "n_shingles", "text_key", "bands", "signature"],
+                names=["doc_id", "n_shingles", "text_key", "bands", "signature", *_SKETCH],
             )
 
 
@@ -112,27 +129,105 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("u").filter(keep), batch.column("v").filter(keep)], names=["u", "v"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keep the pairs whose full shingle sets are similar enough."""
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Jaccard distance of the full shingle sets of each pair, and whether it is a link."""
     for batch in batches:
         for part in pieces(batch, "ta"):
             (sa, oa), (sb, ob) = (shingle_sets(block(part.column(c), lower=True)) for c in ("ta", "tb"))
-            keep = []
+            far, linked = np.ones(part.num_rows), np.zeros(part.num_rows, bool)
             for r in range(part.num_rows):
                 x, y = sa[oa[r] : oa[r + 1]], sb[ob[r] : ob[r + 1]]
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= LEAST * (len(x) + len(y) - both))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([part.column("u").filter(keep), part.column("v").filter(keep)], names=["u", "v"])
+                every = len(x) + len(y) - both
+                if both:
+                    far[r], linked[r] = 1 - both / every, 100 * both >= LEAST * every
+            yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v"), pa.array(linked), pa.array(far)], names=["u", "v", "linked", "far"])
+
+
+def _measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, v, linked, far) of pairs, from their whole texts."""
+    full = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("ta")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tb")), "v")
+    return stored(full.mapInArrow(_measure, "u long, v long, linked boolean, far double"), "measured-pairs")
 
 
 def _confirmed(pairs: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
     """Candidate pairs (u, v) that hold on signatures and on full sets."""
     sig = signed.select("rep", "signature")
     near = pairs.join(sig.select(F.col("rep").alias("u"), F.col("signature").alias("sa")), "u").join(sig.select(F.col("rep").alias("v"), F.col("signature").alias("sb")), "v")
-    near = near.mapInArrow(_alike, "u long, v long")
-    full = near.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("ta")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tb")), "v")
-    return stored(full.mapInArrow(_verify, "u long, v long"), "near-links")
+    return _measured(near.mapInArrow(_alike, "u long, v long"), texts).where("linked").select("u", "v")
+
+
+def _apart(*sides: tuple[str, str]) -> Column:
+    """Bits in which the sketches are sure to differ. Each side: prefixes of the bits that all have, and that any has."""
+    (all_a, any_a), (all_b, any_b) = sides
+    differ = [F.bit_count(F.col(f"{all_a}{j}").bitwiseAND(F.bitwise_not(f"{any_b}{j}"))) + F.bit_count(F.col(f"{all_b}{j}").bitwiseAND(F.bitwise_not(f"{any_a}{j}"))) for j in range(SKETCH_LONGS)]
+    return reduce(lambda x, y: x + y, differ)
+
+
+def _mixed(members: DataFrame, part: DataFrame, reps: DataFrame) -> DataFrame:
+    """Members of the buckets that hold more than one component, with component, size and sketch."""
+    placed = members.join(part.select(F.col("node").alias("rep"), "component"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
+    mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
+    return stored(placed.join(mixed, "band").join(reps.select("rep", "n_shingles", "pivot", "far", "signature", *_SKETCH), "rep"), "mixed-buckets")
+
+
+def _to_pivots(placed: DataFrame, turn: int) -> DataFrame:
+    """One pair for every text outside its buckets' pivots' components: with the pivot whose sketch is nearest.
+
+    The pivot of a bucket is one of its members by a hash, so large components tend to have it.
+    """
+    lot = F.xxhash64("rep", F.lit(turn))
+    least = placed.groupBy("band").agg(F.min(lot).alias("lot"))
+    sketch = [F.col(c).alias(f"p{j}") for j, c in enumerate(_SKETCH)]
+    pivots = placed.select("band", F.col("rep").alias("v"), F.col("component").alias("cv"), lot.alias("lot"), *sketch).join(least, ["band", "lot"]).drop("lot")
+    pivots = stored(pivots.dropDuplicates(["band"]), "pivots")
+    far = _apart(("s", "s"), ("p", "p"))
+    pairs = placed.join(pivots, "band").where("component <> cv").select("rep", "v", far.alias("far")).where(F.col("far") <= SKETCH_FAR)
+    return pairs.groupBy(F.col("rep").alias("u")).agg(F.min_by("v", F.struct("far", "v")).alias("v"))
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in pieces(batch):
+            sets, offsets = shingle_sets(block(part.column("text"), lower=True))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(part.column("doc_id")), np.diff(offsets))), pa.array(sets.view(np.int64))], names=["rep", "shingle"])
+
+
+def _with_common(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """``placed`` with the number of shingles of each text that another of these texts has too."""
+    ids = placed.select(F.col("rep").alias("doc_id")).distinct()
+    each = texts.join(ids, "doc_id", "left_semi").mapInArrow(_shingles, "rep long, shingle long")
+    lone = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1").groupBy("rep").agg(F.count("*").alias("own"))
+    lone = stored(lone, "lone-shingles")
+    return stored(placed.join(lone, "rep", "left").withColumn("common", F.col("n_shingles") - F.coalesce("own", F.lit(0))).drop("own"), "mixed-buckets")
+
+
+def _across(placed: DataFrame) -> DataFrame:
+    """Pairs of texts of different components that share a bucket, and that may be near enough."""
+    both = lambda x: [f(c).alias(f"{n}{x}{j}") for j, c in enumerate(_SKETCH) for n, f in (("all", F.bit_and), ("any", F.bit_or))]
+    side = lambda x: placed.groupBy("band", F.col("component").alias(f"c{x}")).agg(F.min("n_shingles").alias(f"lo{x}"), F.max("n_shingles").alias(f"hi{x}"), F.max("common").alias(f"k{x}"), F.count("*").alias(f"n{x}"), *both(x))
+    sized = lambda lo, hi: F.col(lo) * LEAST <= F.col(hi) * 100
+    # At most so many shingles are in both, so at least so many are in either.
+    enough = lambda ka, kb, na, nb: 100 * F.least(ka, kb) >= LEAST * (F.col(na) + F.col(nb) - F.least(ka, kb))
+    near = (F.col("ca") < F.col("cb")) & enough("ka", "kb", "loa", "lob") & sized("loa", "hib") & sized("lob", "hia") & (_apart(("alla", "anya"), ("allb", "anyb")) <= SKETCH_FAR)
+    a, b = side("a"), side("b")
+    # Two components meet once, however many buckets they share.
+    meet = a.join(b.withColumnRenamed("band", "band_b"), (F.col("band") == F.col("band_b")) & near).select("ca", "cb").distinct()
+    members = placed.drop("band").dropDuplicates(["rep"])
+    size = members.groupBy("component").agg(F.count("*").alias("n"))
+    meet = meet.join(size.toDF("ca", "na"), "ca").join(size.toDF("cb", "nb"), "cb")
+    # The members of the smaller one meet those of the larger one, so that a large one isn't written out for each other.
+    small = F.col("na") <= F.col("nb")
+    meet = stored(meet.select(F.when(small, F.col("ca")).otherwise(F.col("cb")).alias("ca"), F.when(small, F.col("cb")).otherwise(F.col("ca")).alias("cb")), "meeting-components")
+    own = lambda x: [F.col(k).alias(f"{x}{j}") for j, k in enumerate(_SKETCH)] + [F.col("signature").alias(f"s_{x}"), F.col("common").alias(f"{x}_common"), F.col("pivot").alias(f"{x}_pivot"), F.col("far").alias(f"{x}_far")]
+    one = lambda c, n, u, x: members.select(F.col("component").alias(c), F.col("rep").alias(u), F.col("n_shingles").alias(n), *own(x))
+    left = meet.join(one("ca", "nu", "u", "x"), "ca")
+    right = one("cb", "nv", "v", "y").withColumnRenamed("cb", "cb_b")
+    beyond = (F.col("x_pivot") == F.col("y_pivot")) & (F.abs(F.col("x_far") - F.col("y_far")) > 1 - LEAST / 100 + 1e-9)
+    close = sized("nu", "nv") & sized("nv", "nu") & enough("x_common", "y_common", "nu", "nv") & (_apart(("x", "x"), ("y", "y")) <= SKETCH_FAR) & ~F.coalesce(beyond, F.lit(False))
+    # Each pair comes once: its components meet once, and each text is in one of them.
+    pairs = left.join(right, (F.col("cb") == F.col("cb_b")) & close).select("u", "v", F.col("s_x").alias("sa"), F.col("s_y").alias("sb"))
+    return pairs.mapInArrow(_alike, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -148,7 +243,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Classes of equal word sequences. The join is on the id, so that a large class is no hot key.
     classes = some.groupBy("text_key").agg(F.min("doc_id").alias("rep"))
     reps = some.join(classes.withColumnRenamed("text_key", "class_key"), F.col("doc_id") == F.col("rep")).where("text_key = class_key")
-    reps = stored(reps.select("rep", "signature", "bands").dropDuplicates(["rep"]), "classes")
+    reps = stored(reps.select("rep", "n_shingles", "signature", "bands", *_SKETCH).dropDuplicates(["rep"]), "classes")
     members = reps.select("rep", F.explode("bands").alias("band"))
     buckets = stored(members.groupBy("band").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "buckets")
     members = stored(members.join(buckets, "band"), "members")
@@ -157,18 +252,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     held = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = stored(docs.join(held, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidate-texts")
     release(docs.sparkSession)
-    links = _confirmed(first, reps, texts)
+    measured = _measured(first, texts)
+    links = measured.where("linked").select("u", "v")
+    known = measured.select(F.col("u").alias("rep"), F.col("v").alias("pivot"), "far")
+    heads = measured.select(F.col("v").alias("rep")).distinct().join(known.select("rep"), "rep", "left_anti")
+    reps = stored(reps.drop("bands").join(known.union(heads.select("rep", F.col("rep").alias("pivot"), F.lit(0.0).alias("far"))), "rep", "left"), "classes")
     part = components(links)
-    # Pairs between different components of one bucket.
+    for turn in range(ROUNDS):
+        placed = _mixed(members, part, reps)
+        links = links.union(_confirmed(stored(_to_pivots(placed, turn), "pivot-pairs"), reps, texts))
+        part = components(links)
+        release(docs.sparkSession)
+    placed = _with_common(_mixed(members, part, reps), texts)
+    more = _measured(stored(_across(placed), "cross-pairs"), texts).where("linked").select("u", "v")
     part = part.select(F.col("node").alias("rep"), "component")
-    placed = members.join(part, "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    placed = stored(placed.join(mixed, "band"), "mixed-buckets")
-    sides = placed.select("band", "component").distinct()
-    across = sides.select("band", F.col("component").alias("ca")).join(sides.select("band", F.col("component").alias("cb")), "band").where("ca < cb")
-    pairs = across.join(placed.select("band", F.col("component").alias("ca"), F.col("rep").alias("u")), ["band", "ca"]).join(placed.select("band", F.col("component").alias("cb"), F.col("rep").alias("v")), ["band", "cb"])
-    pairs = stored(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "cross-pairs")
-    more = _confirmed(pairs, reps, texts)
     # Links among components: their representatives stand for them.
     label = part.select(F.col("rep"), "component")
     named = more.join(label.select(F.col("rep").alias("u"), F.col("component").alias("cu")), "u", "left").join(label.select(F.col("rep").alias("v"), F.col("component").alias("cv")), "v", "left")
