@@ -133,7 +133,7 @@ def _routes(read, agency, single: bool) -> DataFrame:
     only = agency.select(F.col("agency_id").alias("_a"))
     if single:
         routes = routes.crossJoin(F.broadcast(only.limit(1))).withColumn("agency_id", F.coalesce("agency_id", "_a")).drop("_a")
-    routes = routes.join(F.broadcast(only), F.col("agency_id") == F.col("_a"), "left")
+    routes = routes.join(only, F.col("agency_id") == F.col("_a"), "left")
     routes = _guard(routes, F.col("_a").isNull(), "a route of an unknown agency", "route_id", "agency_id").drop("_a")
     return routes.select(
         "route_id", F.coalesce("route_short_name", "route_long_name").alias("short_name"), F.coalesce("route_long_name", "route_short_name").alias("long_name"), "agency_id",
