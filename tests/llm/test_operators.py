@@ -209,6 +209,25 @@ def test_leaks(spark, docs):
     assert {r["doc_id"] for r in decontaminate.clean(d, b).collect()} == set(texts) - {i for i, _ in want}
 
 
+def test_leaks_at_every_offset(spark):
+    """Items with more words than stretches between spaces: code, hyphens, contractions, decimals, a question of its own column."""
+    join = {0: "_", 1: "-", 2: "'", 3: ".", 4: "/"}
+    items = []
+    for i, size in enumerate((56, 64, 70, 90, 128)):
+        w = prose(900 + i, size)
+        glued = "".join(x + (join[i] if j % 3 else " ") for j, x in enumerate(w[:-5]))
+        items.append((i, f"{glued}\n{' '.join(w[-5:])}", None, None))
+    items.append((5, "short", " ".join(prose(950, 60)), " ".join(prose(951, 5))))
+    b = spark.createDataFrame(items, "item_id long, text string, question string, answer string")
+    indexes = [x for pack in decontaminate.packs(b) for x in pack]
+    filler = prose(1, 600)
+    for i, text, question, answer in items:
+        whole = text if question is None else f"{question} {answer}"
+        texts = [" ".join([*filler[:at], whole, *filler[at : at + 300]]) for at in range(130)]
+        found = {row for x in indexes for row, k, *_ in decontaminate.leaks(block(pa.array(texts), loose=True), x) if x.item_ids[k] == i}
+        assert found == set(range(130)), i
+
+
 def test_wand_is_exact():
     items = [(i, " ".join(prose(i % 17, 10) + prose(i + 50, 8)), "") for i in range(300)]
     index = decontaminate.build(items, 64)

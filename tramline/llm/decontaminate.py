@@ -31,6 +31,8 @@ QUESTION, ANSWER = 0.7, 0.7
 RUN = 5
 POSTING_BLOCK = 32
 BLOCK_WORDS = 400_000
+#: What separates words for block() with ``loose``.
+LOOSE_RUN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Terms of more than this share of a block's items are bounded together, by what they give each item at most.
 COMMON, COMMON_MOST = 0.02, 0.6 * SHARE
 
@@ -224,9 +226,11 @@ def _runs_of(hashes: np.ndarray, k: int) -> np.ndarray:
 
 def _sized(benchmark: DataFrame, words: int = BLOCK_WORDS) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    n = F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    length = F.greatest(F.lit(32), F.pow(F.lit(2), F.ceil(F.log2(F.greatest(n, F.lit(1))))).cast("int"))
     extra = [F.col(c) if c in benchmark.columns else F.lit(None).cast("string").alias(c) for c in ("question", "answer")]
+    # Words as block() cuts them with ``loose``, of what split_item() takes: passages must be long enough for all of these.
+    taken = F.when(extra[0].isNotNull() & extra[1].isNotNull(), F.concat_ws("\n", *extra)).otherwise(text)
+    n = F.size(F.filter(F.split(taken, LOOSE_RUN), lambda w: w != ""))
+    length = F.greatest(F.lit(32), F.pow(F.lit(2), F.ceil(F.log2(F.greatest(n, F.lit(1))))).cast("int"))
     out = benchmark.select("item_id", text.alias("text"), *extra, n.alias("n"), length.alias("length")).where("n > 0")
     # Which block: by a hash of the id, with as many blocks as the words of the class need.
     total = out.groupBy("length").agg(F.ceil(F.sum("n") / F.lit(words * 0.7)).cast("long").alias("blocks"))
