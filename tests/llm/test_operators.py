@@ -161,6 +161,24 @@ def test_tagger_finds_spans(monkeypatch):
     assert sum(map(len, personal_data.found_spans(contexts, tagger))) == 0
 
 
+def test_spelled_addresses_without_digits():
+    """Without a digit or an at sign near, or with one that is just far enough to cut the span."""
+    around = "here is some plain text without any numbers at all and then "
+    spans = ["jane_doe [at] example.com", "markus.lindberger (at) sample.org", "someone.with.a.very.long.name [at] department.example.co.uk", "ann AT example.net"]
+    for tail in (" and more of the same text follows", " and 7 more"):
+        for span in spans:
+            text = around + span + tail
+            assert any(a <= len(around) and len(around) + len(span) <= b for a, b in personal_data.regions(text)), text
+    assert personal_data.regions("we met at noon and (later) looked at it") == []
+    long = "ab1" * 30_000
+    assert personal_data.regions(long) == [(0, len(long))]
+    tagger = personal_data.Tagger()
+    tagger.train(*personal_data.examples([around * 4]))
+    want = spans[:2]
+    texts = [around + x + " and more of the same text follows" for x in want]
+    assert personal_data.found_spans(texts, tagger) == [[("email", len(around), len(around) + len(x))] for x in want]
+
+
 def test_pieces_match_the_library():
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as pb

@@ -4,7 +4,8 @@ The network is trained in numpy from labelled spans: base spans found by pattern
 generated ones in the same contexts, in other spellings than the patterns know (numbers without a plus, spelled-out
 addresses, spaced digits), beside look-alikes that aren't personal data. Every region that may hold such data is cut
 into overlapping windows; the windows' scores are averaged where they overlap, and one Viterbi path over the whole region
-reconciles them. Every kind of span has a digit or an at sign, so characters far from any of these need no network.
+reconciles them. Every kind of span has a digit, an at sign or a spelled-out one, so characters far from any of these
+need no network.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]")
+#: At signs as words: in brackets, or between spaces before something with a dot in it, as every address has.
+_SPELLED = re.compile(r"[\[(]\x20*(?:at|AT)\x20*[\])]|\x20(?:at|AT)\x20(?=\S*[A-Za-z0-9-]\.[A-Za-z])")
 
 
 def luhn(digits: str) -> bool:
@@ -217,11 +220,20 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches of text within MARGIN of a digit or an at sign."""
+    """Stretches of text within MARGIN of a digit or an at sign, spelled-out ones too, with the whole tokens at both ends."""
+    hints = [m.span() for m in _HINT.finditer(text)]
+    spelled = [m.span() for m in _SPELLED.finditer(text)]
     out: list[list[int]] = []
-    for m in _HINT.finditer(text):
-        lo, hi = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
-        if out and lo <= out[-1][1]:
+    for start, end in sorted(hints + spelled) if spelled else hints:
+        lo, hi = max(0, start - MARGIN), min(len(text), end + MARGIN)
+        done = out[-1][1] if out else 0
+        if hi <= done:
+            continue
+        while lo > done and not text[lo - 1].isspace():
+            lo -= 1
+        while hi < len(text) and not text[hi].isspace():
+            hi += 1
+        if out and lo <= done:
             out[-1][1] = hi
         else:
             out.append([lo, hi])
