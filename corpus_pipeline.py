@@ -44,7 +44,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents with a credential that isn't a widely copied example."""
-    found = secret_scan.scan(docs)
+    found = secret_scan.scan(docs, strict=True)
     live = F.col("n_assign") + F.col("n_access") + F.col("n_hex") - F.col("n_example") + F.col("n_live") > 0
     return _without(docs.select(*COLUMNS), found.where(live))
 

@@ -57,6 +57,15 @@ def test_stages(spark, folder):
     assert {r["doc_id"]: r["text"] for r in pieces.decoded(tokens).collect()} == {i: texts[i] for i in kept}
 
 
+def test_secret_stage_keeps_links(spark):
+    links = ["example.com/2023/05/14/story-title-of-the-day", "550e8400-e29b-41d4-a716-446655440000", "id_550e8400-e29b-41d4-a716-446655440000", "doi.org/10.1038/s41586-020-2649-2/figures", "top-100-reasons-to-visit-in-2023", "backup_2023-05-14T120000Z_daily", "getUserById2023HandlerImpl"]
+    tokens = ["ghp_16C7e42F292c6912E7710c838347Ae178B4a", "eyJ1c2VyIjoxMjM0NTY3ODkwLCJhIjp0cnVlfQ", "k4Xq9Lz2/mP8wRt5Yv/Hb3Nc7Jd1"]
+    texts = {i: f"clean {x} text" for i, x in enumerate(links)} | {100 + i: f"see {x} here" for i, x in enumerate(tokens)}
+    rows = [(i, t, f"owner{i}/repo") for i, t in texts.items()]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.secrets(spark, docs, "").collect()} == set(range(len(links)))
+
+
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert {r["doc_id"] for r in out.select("doc_id").collect()} == {i for i in range(240) if i % 10 in (0, 2, 4, 6, 7, 9)}

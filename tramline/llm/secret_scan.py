@@ -2,7 +2,8 @@
 
 Candidates are found by pattern with their code-point offsets. Each candidate value is hashed, and the hashes are
 aggregated over the corpus by distinct repositories and owners: a value that many owners have is a copied example, a
-value that one owner has looks live. High-entropy values that only one owner has are added as spans of kind ``live``.
+value that one owner has looks live. Long mixed runs that only one owner has are added as spans of kind ``live``; with
+``strict``, as in the pipeline, only those of high entropy.
 """
 
 from __future__ import annotations
@@ -24,6 +25,11 @@ EXAMPLE_OWNERS = 5
 _SPAN = "array<struct<start:bigint,end:bigint,kind:string,value:string>>"
 
 
+_UUID = "[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}"
+#: Least length, bits a character, and changes between letters and digits of what looks random.
+RANDOM_LENGTH, RANDOM_BITS, RANDOM_CHANGES = 16, 3.0, 4
+
+
 def _found(text: Column, pattern: str, kind: str, value, keep) -> Column:
     """Spans of the leftmost non-overlapping matches. ``value`` gives the secret of a match, ``keep`` says which stay."""
 
@@ -52,6 +58,30 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(F.transform(spans, _order)), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def looks_random(value: Column) -> Column:
+    """Whether a run of the generic pattern may be a credential rather than a path, slug, date or UUID.
+
+    UUIDs and the parts between slashes, hyphens and underscores that are plain words or numbers don't count. What is left
+    must be long, of high entropy, and change often between letters and digits.
+    """
+    parts = F.split(F.regexp_replace(value, _UUID, "-"), "[/_-]")
+    core = F.array_join(F.filter(parts, lambda p: ~p.rlike("^([A-Za-z]?[a-z]*|[A-Z]*|[0-9]*)$")), "-")
+
+    def judged(core: Column) -> Column:
+        bare = F.translate(core, "-", "")
+        n = F.length(bare).cast("double")
+
+        def add(acc: Column, c: Column) -> Column:
+            k = (F.length(bare) - F.length(F.replace(bare, c, F.lit("")))).cast("double")
+            return acc + k * F.log2(k)
+
+        bits = F.log2(n) - F.aggregate(F.array_distinct(F.split(bare, "")), F.lit(0.0), add) / n
+        changes = F.size(F.regexp_extract_all(core, F.lit("[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])"), F.lit(0)))
+        return F.when(n < RANDOM_LENGTH, False).otherwise((changes >= RANDOM_CHANGES) & (bits >= RANDOM_BITS))
+
+    return bind(core, judged)
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, owner, repository, base spans and further high-entropy candidates of every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -88,13 +118,19 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
 
 
-def scan(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, strict: bool = False) -> DataFrame:
     """Secrets of every row.
 
+    ``strict`` adds only what looks random; without it the results are those of ``SQL``, which adds every run that one
+    owner has.
+
     Null and empty texts have none. A null source is one owner without a name. Rows that share id and text get equal
     results, rows that share only the id are judged apart, and extra columns are ignored. An empty table gives no rows.
     """
-    found = stored(candidates(docs), "secret-candidates")
+    found = candidates(docs)
+    if strict:
+        found = found.withColumn("more", F.filter("more", lambda s: looks_random(s["value"])))
+    found = stored(found, "secret-candidates")
     owners = ownership(found)
     each = found.select("doc_id", "text_key", F.explode(F.concat("base", "more")).alias("s")).select("doc_id", "text_key", "s", F.sha2("s.value", 256).alias("hash")).distinct()
     judged = each.join(owners, "hash").groupBy("doc_id", "text_key").agg(
