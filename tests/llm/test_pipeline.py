@@ -66,6 +66,16 @@ def test_secret_stage_keeps_links(spark):
     assert {r["doc_id"] for r in corpus_pipeline.secrets(spark, docs, "").collect()} == set(range(len(links)))
 
 
+def test_secret_stage_drops_shared_tokens(spark):
+    """A token that three owners have is live; in seven copies of one text it is no example; with six owners of other texts it is."""
+    rows = [(200 + i, f"text {i} has q7Wn3Zt8Ks5Vb2Mx9Rf4", f"owner{i}/r") for i in range(3)]
+    rows += [(300 + i, "all alike p5Gd8Hj2Lm7Qw4Zx9Cv1", f"owner{i}/r") for i in range(7)]
+    rows += [(400 + i, f"text {i} with t6Yb1Nc9Kf3Rv8Sx4Jw7", f"owner{i}/r") for i in range(6)]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.secrets(spark, docs, "").collect()}
+    assert kept == set(range(400, 406))
+
+
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert {r["doc_id"] for r in out.select("doc_id").collect()} == {i for i in range(240) if i % 10 in (0, 2, 4, 6, 7, 9)}

@@ -3,7 +3,7 @@
 Candidates are found by pattern with their code-point offsets. Each candidate value is hashed, and the hashes are
 aggregated over the corpus by distinct repositories and owners: a value that many owners have is a copied example, a
 value that one owner has looks live. Long mixed runs that only one owner has are added as spans of kind ``live``; with
-``strict``, as in the pipeline, only those of high entropy.
+``strict``, as in the pipeline, only those of high entropy, and of fewer owners than an example has.
 """
 
 from __future__ import annotations
@@ -118,11 +118,18 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
 
 
+def _by_text(found: DataFrame) -> DataFrame:
+    """``found`` with one owner for all copies of a text, the least, so that copying a document makes no examples."""
+    first = found.groupBy("text_key").agg(F.min(F.struct("owner", "repository")).alias("first"))
+    has = found.where(F.size("base") + F.size("more") > 0).drop("owner", "repository").dropDuplicates(["text_key"])
+    return has.join(first, "text_key").select("*", "first.owner", "first.repository")
+
+
 def scan(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, strict: bool = False) -> DataFrame:
     """Secrets of every row.
 
-    ``strict`` adds only what looks random; without it the results are those of ``SQL``, which adds every run that one
-    owner has.
+    ``strict`` adds only what looks random, adds whatever has fewer owners than an example, and counts copies of a text
+    once; without it the results are those of ``SQL``, which adds every run that one owner has.
 
     Null and empty texts have none. A null source is one owner without a name. Rows that share id and text get equal
     results, rows that share only the id are judged apart, and extra columns are ignored. An empty table gives no rows.
@@ -131,12 +138,13 @@ def scan(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, strict: bool = F
     if strict:
         found = found.withColumn("more", F.filter("more", lambda s: looks_random(s["value"])))
     found = stored(found, "secret-candidates")
-    owners = ownership(found)
+    owners = ownership(_by_text(found) if strict else found)
+    live = F.col("n_owners") < example_owners if strict else F.col("n_owners") == 1
     each = found.select("doc_id", "text_key", F.explode(F.concat("base", "more")).alias("s")).select("doc_id", "text_key", "s", F.sha2("s.value", 256).alias("hash")).distinct()
     judged = each.join(owners, "hash").groupBy("doc_id", "text_key").agg(
         F.count_if((F.col("s.kind") != "live") & (F.col("n_owners") == 1)).alias("n_owned"),
         F.count_if((F.col("s.kind") != "live") & (F.col("n_owners") >= example_owners)).alias("n_example"),
-        F.collect_list(F.when((F.col("s.kind") == "live") & (F.col("n_owners") == 1), F.col("s"))).alias("added"),
+        F.collect_list(F.when((F.col("s.kind") == "live") & live, F.col("s"))).alias("added"),
     )
     judged = judged.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "n_owned", "n_example", "added")
     n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
