@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from tramline.llm import decontaminate, minhash_dedup, pieces, quality_classifier, secret_scan
 from tramline.llm.shared import shared_dir
 
+#: Words of a shingle for near-duplicates; op1's own query has four.
+SHINGLE = 5
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -32,7 +34,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the least id of each group; of rows that repeat it, one."""
-    found = minhash_dedup.near_duplicates(docs)
+    found = minhash_dedup.near_duplicates(docs, SHINGLE)
     once = docs.select(*COLUMNS).dropDuplicates(["doc_id", "text"])
     return _without(once, found.where(~F.col("kept")))
 

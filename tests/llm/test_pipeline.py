@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline
 from tests.llm.conftest import prose
-from tramline.llm import pieces
+from tramline.llm import minhash_dedup, pieces
 
 
 @pytest.fixture(scope="module")
@@ -57,6 +57,16 @@ def test_stages(spark, folder):
     assert {r["doc_id"]: r["text"] for r in pieces.decoded(tokens).collect()} == {i: texts[i] for i in kept}
 
 
+def test_near_duplicate_stage_compares_five_words(spark):
+    """One inner word of 45 replaced: 38 of 46 shingles of four words are shared, but only 36 of 46 of five."""
+    a = [f"w{k}" for k in range(45)]
+    far, near = [*a[:22], "other", *a[23:]], [*a[:44], "end"]
+    rows = [(1, a), (2, far), (3, near)]
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 1) for i, w in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {1, 2}
+    assert {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 1}
+
+
 def test_secret_stage_keeps_links(spark):
     links = ["example.com/2023/05/14/story-title-of-the-day", "550e8400-e29b-41d4-a716-446655440000", "id_550e8400-e29b-41d4-a716-446655440000", "doi.org/10.1038/s41586-020-2649-2/figures", "top-100-reasons-to-visit-in-2023", "backup_2023-05-14T120000Z_daily", "getUserById2023HandlerImpl"]
     tokens = ["ghp_16C7e42F292c6912E7710c838347Ae178B4a", "eyJ1c2VyIjoxMjM0NTY3ODkwLCJhIjp0cnVlfQ", "k4Xq9Lz2/mP8wRt5Yv/Hb3Nc7Jd1"]

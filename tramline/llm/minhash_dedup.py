@@ -19,7 +19,7 @@ A pair of similarity s shares no band with probability (1 - s ** ROWS) ** BANDS:
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -32,6 +32,7 @@ from .shared import documents, release, stored
 from .textblocks import Block, U, block, mix, pieces
 
 ROWS, BANDS = 7, 56
+#: Words of a shingle where op1's SQL sets it.
 SHINGLE = 4
 #: Links have 100 * intersection >= LEAST * union.
 LEAST = 80
@@ -86,37 +87,40 @@ _SKETCH = [f"s{j}" for j in range(SKETCH_LONGS)]
 _SIGNED = "doc_id long, n_shingles long, text_key binary, bands array<long>, signature binary, " + ", ".join(f"s{j} long" for j in range(SKETCH_LONGS))
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in pieces(batch):
-            b = block(part.column("text"), lower=True)
-            sets, offsets = shingle_sets(b)
-            n = np.diff(offsets)
-            m = minima(sets, offsets)
-            hashes = np.zeros((len(m), BANDS), U)
-            for j in range(ROWS):
-                hashes = mix(hashes * U(31) + m[:, j::ROWS].astype(U) + U(j + 1))
-            hashes = mix(hashes + np.arange(BANDS, dtype=U) * U(0x9E3779B97F4A7C15))
-            ends = np.zeros(part.num_rows + 1, np.int32)
-            np.cumsum(np.where(n > 0, BANDS, 0), out=ends[1:])
-            full = np.cumsum(n > 0) - 1
-            small = (m & np.uint32(255)).astype(np.uint8)
-            # The low bit of a minimum is that of one value; a higher bit of its product with an odd number is as good as random.
-            bits = ((m[:, : 64 * SKETCH_LONGS] * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8)
-            sketch = np.zeros((part.num_rows, SKETCH_LONGS), np.int64)
-            sketch[n > 0] = np.packbits(bits, axis=1).view(np.int64)
-            keys = [hashlib.blake2b(b" ".join(b.text(r).split()), digest_size=16).digest() for r in range(part.num_rows)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id").cast(pa.int64()),
-                    pa.array(n.astype(np.int64)),
-                    pa.array(keys, pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.reshape(-1).view(np.int64))),
-                    pa.array([small[full[r]].tobytes() if n[r] else b"" for r in range(part.num_rows)], pa.binary()),
-                    *[pa.array(np.ascontiguousarray(sketch[:, j])) for j in range(SKETCH_LONGS)],
-                ],
-                names=["doc_id", "n_shingles", "text_key", "bands", "signature", *_SKETCH],
-            )
+def _sign(size: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch):
+                b = block(part.column("text"), lower=True)
+                sets, offsets = shingle_sets(b, size)
+                n = np.diff(offsets)
+                m = minima(sets, offsets)
+                hashes = np.zeros((len(m), BANDS), U)
+                for j in range(ROWS):
+                    hashes = mix(hashes * U(31) + m[:, j::ROWS].astype(U) + U(j + 1))
+                hashes = mix(hashes + np.arange(BANDS, dtype=U) * U(0x9E3779B97F4A7C15))
+                ends = np.zeros(part.num_rows + 1, np.int32)
+                np.cumsum(np.where(n > 0, BANDS, 0), out=ends[1:])
+                full = np.cumsum(n > 0) - 1
+                small = (m & np.uint32(255)).astype(np.uint8)
+                # The low bit of a minimum is that of one value; a higher bit of its product with an odd number is as good as random.
+                bits = ((m[:, : 64 * SKETCH_LONGS] * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8)
+                sketch = np.zeros((part.num_rows, SKETCH_LONGS), np.int64)
+                sketch[n > 0] = np.packbits(bits, axis=1).view(np.int64)
+                keys = [hashlib.blake2b(b" ".join(b.text(r).split()), digest_size=16).digest() for r in range(part.num_rows)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id").cast(pa.int64()),
+                        pa.array(n.astype(np.int64)),
+                        pa.array(keys, pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.reshape(-1).view(np.int64))),
+                        pa.array([small[full[r]].tobytes() if n[r] else b"" for r in range(part.num_rows)], pa.binary()),
+                        *[pa.array(np.ascontiguousarray(sketch[:, j])) for j in range(SKETCH_LONGS)],
+                    ],
+                    names=["doc_id", "n_shingles", "text_key", "bands", "signature", *_SKETCH],
+                )
+
+    return run
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,32 +133,36 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("u").filter(keep), batch.column("v").filter(keep)], names=["u", "v"])
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measure(size: int) -> Callable:
     """Jaccard distance of the full shingle sets of each pair, and whether it is a link."""
-    for batch in batches:
-        for part in pieces(batch, "ta"):
-            (sa, oa), (sb, ob) = (shingle_sets(block(part.column(c), lower=True)) for c in ("ta", "tb"))
-            far, linked = np.ones(part.num_rows), np.zeros(part.num_rows, bool)
-            for r in range(part.num_rows):
-                x, y = sa[oa[r] : oa[r + 1]], sb[ob[r] : ob[r + 1]]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                every = len(x) + len(y) - both
-                if both:
-                    far[r], linked[r] = 1 - both / every, 100 * both >= LEAST * every
-            yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v"), pa.array(linked), pa.array(far)], names=["u", "v", "linked", "far"])
-
-
-def _measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "ta"):
+                (sa, oa), (sb, ob) = (shingle_sets(block(part.column(c), lower=True), size) for c in ("ta", "tb"))
+                far, linked = np.ones(part.num_rows), np.zeros(part.num_rows, bool)
+                for r in range(part.num_rows):
+                    x, y = sa[oa[r] : oa[r + 1]], sb[ob[r] : ob[r + 1]]
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    every = len(x) + len(y) - both
+                    if both:
+                        far[r], linked[r] = 1 - both / every, 100 * both >= LEAST * every
+                yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v"), pa.array(linked), pa.array(far)], names=["u", "v", "linked", "far"])
+
+    return run
+
+
+def _measured(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """(u, v, linked, far) of pairs, from their whole texts."""
     full = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("ta")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tb")), "v")
-    return stored(full.mapInArrow(_measure, "u long, v long, linked boolean, far double"), "measured-pairs")
+    return stored(full.mapInArrow(_measure(size), "u long, v long, linked boolean, far double"), "measured-pairs")
 
 
-def _confirmed(pairs: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, signed: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """Candidate pairs (u, v) that hold on signatures and on full sets."""
     sig = signed.select("rep", "signature")
     near = pairs.join(sig.select(F.col("rep").alias("u"), F.col("signature").alias("sa")), "u").join(sig.select(F.col("rep").alias("v"), F.col("signature").alias("sb")), "v")
-    return _measured(near.mapInArrow(_alike, "u long, v long"), texts).where("linked").select("u", "v")
+    return _measured(near.mapInArrow(_alike, "u long, v long"), texts, size).where("linked").select("u", "v")
 
 
 def _apart(*sides: tuple[str, str]) -> Column:
@@ -186,17 +194,20 @@ def _to_pivots(placed: DataFrame, turn: int) -> DataFrame:
     return pairs.groupBy(F.col("rep").alias("u")).agg(F.min_by("v", F.struct("far", "v")).alias("v"))
 
 
-def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in pieces(batch):
-            sets, offsets = shingle_sets(block(part.column("text"), lower=True))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(part.column("doc_id")), np.diff(offsets))), pa.array(sets.view(np.int64))], names=["rep", "shingle"])
+def _shingles(size: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch):
+                sets, offsets = shingle_sets(block(part.column("text"), lower=True), size)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(part.column("doc_id")), np.diff(offsets))), pa.array(sets.view(np.int64))], names=["rep", "shingle"])
+
+    return run
 
 
-def _with_common(placed: DataFrame, texts: DataFrame) -> DataFrame:
+def _with_common(placed: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """``placed`` with the number of shingles of each text that another of these texts has too."""
     ids = placed.select(F.col("rep").alias("doc_id")).distinct()
-    each = texts.join(ids, "doc_id", "left_semi").mapInArrow(_shingles, "rep long, shingle long")
+    each = texts.join(ids, "doc_id", "left_semi").mapInArrow(_shingles(size), "rep long, shingle long")
     lone = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1").groupBy("rep").agg(F.count("*").alias("own"))
     lone = stored(lone, "lone-shingles")
     return stored(placed.join(lone, "rep", "left").withColumn("common", F.col("n_shingles") - F.coalesce("own", F.lit(0))).drop("own"), "mixed-buckets")
@@ -230,15 +241,15 @@ def _across(placed: DataFrame) -> DataFrame:
     return pairs.mapInArrow(_alike, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row.
+def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row; shingles have ``size`` words.
 
     Null and empty texts, and texts of spaces, have no shingles and are linked with nothing. A null doc_id is linked
     with nothing either and is its own component (null, kept). Repeated rows are one node: they share the component,
     and all rows with its least id are kept. Extra columns are ignored; an empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = stored(docs.mapInArrow(_sign, _SIGNED), "signed")
+    rows = stored(docs.mapInArrow(_sign(size), _SIGNED), "signed")
     some = rows.where("n_shingles > 0 and doc_id is not null")
     # Classes of equal word sequences. The join is on the id, so that a large class is no hot key.
     classes = some.groupBy("text_key").agg(F.min("doc_id").alias("rep"))
@@ -252,7 +263,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     held = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = stored(docs.join(held, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidate-texts")
     release(docs.sparkSession)
-    measured = _measured(first, texts)
+    measured = _measured(first, texts, size)
     links = measured.where("linked").select("u", "v")
     known = measured.select(F.col("u").alias("rep"), F.col("v").alias("pivot"), "far")
     heads = measured.select(F.col("v").alias("rep")).distinct().join(known.select("rep"), "rep", "left_anti")
@@ -260,11 +271,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     part = components(links)
     for turn in range(ROUNDS):
         placed = _mixed(members, part, reps)
-        links = links.union(_confirmed(stored(_to_pivots(placed, turn), "pivot-pairs"), reps, texts))
+        links = links.union(_confirmed(stored(_to_pivots(placed, turn), "pivot-pairs"), reps, texts, size))
         part = components(links)
         release(docs.sparkSession)
-    placed = _with_common(_mixed(members, part, reps), texts)
-    more = _measured(stored(_across(placed), "cross-pairs"), texts).where("linked").select("u", "v")
+    placed = _with_common(_mixed(members, part, reps), texts, size)
+    more = _measured(stored(_across(placed), "cross-pairs"), texts, size).where("linked").select("u", "v")
     part = part.select(F.col("node").alias("rep"), "component")
     # Links among components: their representatives stand for them.
     label = part.select(F.col("rep"), "component")
