@@ -303,9 +303,113 @@ def test_pitman_yor(spark, docs):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_word_probabilities_sum_to_one(spark):
-    words = sorted({*prose(3, 300), ""})
-    rows = [(w.encode(), 1 + i % 5) for i, w in enumerate(words)]
-    model = pitman_yor.fit(spark.createDataFrame(rows, "word binary, c long"), sum(c for _, c in rows), len(rows))
-    total = model.probability([w for w, _ in rows], np.array([c for _, c in rows])).sum() + model.unknown
-    assert total == pytest.approx(1, abs=0.02)
+def _plain_pitman_yor(texts):
+    """The model over dictionaries of words: counts, the first state, one sweep of each chain from the lowest restaurants up."""
+    py = pitman_yor
+    end = ""
+    keys = {}
+    words = {i: [*(t or "").lower().split(), end] for i, t in texts.items()}
+    runs = {}
+    for i, t in texts.items():
+        tokens, row = py.tokens_of(pa.array([t]))
+        r = py.runs_of(tokens, row)
+        w = words[i]
+        for j, x in enumerate(w):
+            before = w[j - 1] if j else end
+            keys[x], keys[before, x] = r.keys[0][r.at[0][j]], r.keys[1][r.at[1][j]]
+            if j:
+                keys[w[j - 2] if j > 1 else end, before, x] = r.keys[2][r.at[2][j - 1]]
+        runs[i] = [((w[j - 2] if j > 1 else end) if j else None, w[j - 1] if j else end, x) for j, x in enumerate(w)]
+    c1, c2, c3 = Counter(), Counter(), Counter()
+    for i, rs in runs.items():
+        if zlib.crc32(str(i).encode()) % 10:
+            for u, v, x in rs:
+                c1[x] += 1
+                c2[v, x] += 1
+                if u is not None:
+                    c3[u, v, x] += 1
+    d = []
+    for c in (c1, c2, c3):
+        n = Counter(c.values())
+        d.append(min(0.95, max(0.05, n[1] / max(1, n[1] + 2 * n[2]))))
+    uniform = 1 / (len(c1) + 1)
+    total = lambda table, part: (lambda out: [out.update({part(k): n}) for k, n in table.items()] and out)(Counter())
+
+    def up3(t3):
+        """Customers of pairs, given the tables of runs of three."""
+        out = Counter()
+        for (_, v, x), n in t3.items():
+            out[v, x] += n
+        for (v, x), n in c2.items():
+            if v == end:
+                out[v, x] = n
+        return out
+
+    predict = lambda c, t, customers, tables, disc, base: (max(c - disc * t, 0) + (py.STRENGTH + disc * tables) * base) / (py.STRENGTH + customers)
+
+    def model(t1, k1, t2, k2, t3):
+        n1, s1, n2, s2, s3 = sum(k1.values()), sum(t1.values()), total(k2, lambda k: k[0]), total(t2, lambda k: k[0]), total(t3, lambda k: k[:2])
+        p1 = lambda x: predict(k1[x], t1[x], n1, s1, d[0], uniform)
+        p2 = lambda v, x: predict(k2[v, x], t2[v, x], n2[v], s2[v], d[1], p1(x))
+        p3 = lambda u, v, x: predict(c3[u, v, x], t3[u, v, x], c2[u, v], s3[u, v], d[2], p2(v, x))
+        return p1, p2, p3
+
+    ones = lambda c: Counter(dict.fromkeys(c, 1))
+    draw = lambda c, others, base, disc, key, chain: float(py.seat(np.array([float(c)]), np.array([float(others)]), np.array([base]), disc, py.mix(np.array([key]) + np.uint64(chain)))[0])
+    t3, t2 = ones(c3), ones(c2)
+    k1 = total(t2, lambda k: k[1])
+    f1, f2, _ = model(ones(c1), k1, t2, up3(t3), t3)
+    s3, s2 = total(t3, lambda k: k[:2]), total(t2, lambda k: k[0])
+    chains = []
+    for c in range(py.CHAINS):
+        n3 = Counter({k: draw(n, s3[k[:2]] - 1, f2(k[1], k[2]), d[2], keys[k], c) for k, n in c3.items()})
+        k2 = up3(n3)
+        n2 = Counter({k: draw(n, s2[k[0]] - 1, f1(k[1]), d[1], keys[k], c) for k, n in k2.items()})
+        k1 = total(n2, lambda k: k[1])
+        n1 = Counter({k: draw(n, len(c1) - 1, uniform, d[0], keys[k], c) for k, n in k1.items()})
+        chains.append(model(n1, k1, n2, k2, n3))
+    token = lambda u, v, x: np.mean([p2(v, x) if u is None else p3(u, v, x) for _, p2, p3 in chains])
+    return {i: sum(log10(token(*r)) for r in rs) for i, rs in runs.items()}, token, c1, c2
+
+
+def test_pitman_yor_by_hand(spark, docs):
+    r = random.Random(12)
+    vocabulary = sorted(set(prose(1, 60)))[:30]
+    texts = {i: " ".join(r.choices(vocabulary, [1 / k for k in range(1, len(vocabulary) + 1)], k=r.randint(0, 60))) for i in range(60)}
+    texts |= {61: texts[3], 62: "Never seen " + texts[4], 63: None, 64: ""}
+    want, token, words, pairs = _plain_pitman_yor(texts)
+    found = {r["doc_id"]: r["score"] for r in pitman_yor.scores(docs(texts).repartition(3)).collect()}
+    assert found == pytest.approx(want)
+    for u, v in [k for k in pairs if k[1]][:20] + [("never", "before")]:
+        assert sum(token(u, v, x) for x in words) + token(u, v, "no word of these") == pytest.approx(1)
+
+
+def test_pitman_yor_knows_word_order(spark, docs):
+    """The same words in another order are less likely, in texts that the model hasn't learned from."""
+    r = random.Random(13)
+    phrases = [prose(500 + k, 6) for k in range(40)]
+    texts = {i: " ".join(w for p in r.choices(phrases, k=12) for w in p) for i in range(200)}
+    held = [i for i in texts if zlib.crc32(str(i).encode()) % 10 == 0]
+    free = [i for i in range(200, 2000) if zlib.crc32(str(i).encode()) % 10 == 0]
+    twin = dict(zip(held, free, strict=False))
+    for i in held:
+        w = texts[i].split()
+        r.shuffle(w)
+        texts[twin[i]] = " ".join(w)
+    out = {r["doc_id"]: r for r in pitman_yor.scores(docs(texts)).collect()}
+    assert len(held) > 5 and all(out[i]["score"] > out[twin[i]]["score"] + 20 for i in held)
+    assert all(out[i]["base_score"] == pytest.approx(out[twin[i]]["base_score"]) for i in held)
+
+
+def test_seats_follow_the_process():
+    """Mean number of tables against the process drawn customer by customer."""
+    rng = np.random.default_rng(3)
+    for customers, others, base, discount in ((5, 3, 0.2, 0.6), (60, 0, 0.05, 0.3), (3000, 40, 0.3, 0.7), (20_000, 2000, 0.02, 0.5)):
+        n = 400
+        keys = rng.integers(0, 2**63, n, dtype=np.uint64)
+        mine = pitman_yor.seat(np.full(n, float(customers)), np.full(n, float(others)), np.full(n, base), discount, keys)
+        tables = np.ones(n)
+        for at in range(1, customers):
+            new = (pitman_yor.STRENGTH + discount * (others + tables)) * base
+            tables += rng.random(n) < new / (new + at - discount * tables)
+        assert mine.mean() == pytest.approx(tables.mean(), rel=0.06) and mine.std() == pytest.approx(tables.std(), rel=0.25, abs=0.05)
