@@ -313,36 +313,36 @@ def _plain_pitman_yor(texts):
     for i, t in texts.items():
         tokens, row = py.tokens_of(pa.array([t]))
         r = py.runs_of(tokens, row)
+        three = py.triples_of(r, np.ones(len(r.keys[1]), bool))
         w = words[i]
         for j, x in enumerate(w):
             before = w[j - 1] if j else end
             keys[x], keys[before, x] = r.keys[0][r.at[0][j]], r.keys[1][r.at[1][j]]
             if j:
-                keys[w[j - 2] if j > 1 else end, before, x] = r.keys[2][r.at[2][j - 1]]
+                keys[w[j - 2] if j > 1 else end, before, x] = three.keys[three.at[j - 1]]
         runs[i] = [((w[j - 2] if j > 1 else end) if j else None, w[j - 1] if j else end, x) for j, x in enumerate(w)]
-    c1, c2, c3 = Counter(), Counter(), Counter()
-    for i, rs in runs.items():
-        if zlib.crc32(str(i).encode()) % 10:
-            for u, v, x in rs:
-                c1[x] += 1
-                c2[v, x] += 1
-                if u is not None:
-                    c3[u, v, x] += 1
+    train = {i for i in texts if zlib.crc32(str(i).encode()) % 10}
+    c1, c2, c3, alone = Counter(), Counter(), Counter(), Counter()
+    for i in train:
+        for _, v, x in runs[i]:
+            c1[x] += 1
+            c2[v, x] += 1
+    for i in train:
+        for u, v, x in runs[i]:
+            if u is not None and c2[u, v] >= py.LEAST_CONTEXT:
+                c3[u, v, x] += 1
+            else:
+                alone[v, x] += 1
     d = []
     for c in (c1, c2, c3):
         n = Counter(c.values())
         d.append(min(0.95, max(0.05, n[1] / max(1, n[1] + 2 * n[2]))))
     uniform = 1 / (len(c1) + 1)
-    total = lambda table, part: (lambda out: [out.update({part(k): n}) for k, n in table.items()] and out)(Counter())
 
-    def up3(t3):
-        """Customers of pairs, given the tables of runs of three."""
+    def total(table, part):
         out = Counter()
-        for (_, v, x), n in t3.items():
-            out[v, x] += n
-        for (v, x), n in c2.items():
-            if v == end:
-                out[v, x] = n
+        for k, n in table.items():
+            out[part(k)] += n
         return out
 
     predict = lambda c, t, customers, tables, disc, base: (max(c - disc * t, 0) + (py.STRENGTH + disc * tables) * base) / (py.STRENGTH + customers)
@@ -351,27 +351,38 @@ def _plain_pitman_yor(texts):
         n1, s1, n2, s2, s3 = sum(k1.values()), sum(t1.values()), total(k2, lambda k: k[0]), total(t2, lambda k: k[0]), total(t3, lambda k: k[:2])
         p1 = lambda x: predict(k1[x], t1[x], n1, s1, d[0], uniform)
         p2 = lambda v, x: predict(k2[v, x], t2[v, x], n2[v], s2[v], d[1], p1(x))
-        p3 = lambda u, v, x: predict(c3[u, v, x], t3[u, v, x], c2[u, v], s3[u, v], d[2], p2(v, x))
+
+        def p3(u, v, x):
+            return predict(c3[u, v, x], t3[u, v, x], c2[u, v], s3[u, v], d[2], p2(v, x)) if u is not None and c2[u, v] >= py.LEAST_CONTEXT else p2(v, x)
+
         return p1, p2, p3
 
     ones = lambda c: Counter(dict.fromkeys(c, 1))
     draw = lambda c, others, base, disc, key, chain: float(py.seat(np.array([float(c)]), np.array([float(others)]), np.array([base]), disc, py.mix(np.array([key]) + np.uint64(chain)))[0])
-    t3, t2 = ones(c3), ones(c2)
-    k1 = total(t2, lambda k: k[1])
-    f1, f2, _ = model(ones(c1), k1, t2, up3(t3), t3)
-    s3, s2 = total(t3, lambda k: k[:2]), total(t2, lambda k: k[0])
+    t2 = ones(c2)
+    f1, f2, _ = model(ones(c1), total(t2, lambda k: k[1]), t2, c2, c3)
+    s2 = total(t2, lambda k: k[0])
     chains = []
     for c in range(py.CHAINS):
-        n3 = Counter({k: draw(n, s3[k[:2]] - 1, f2(k[1], k[2]), d[2], keys[k], c) for k, n in c3.items()})
-        k2 = up3(n3)
+        n3 = Counter({k: draw(n, c2[k[:2]] - n, f2(k[1], k[2]), d[2], keys[k], c) for k, n in c3.items()})
+        k2 = total(n3, lambda k: k[1:]) + alone
         n2 = Counter({k: draw(n, s2[k[0]] - 1, f1(k[1]), d[1], keys[k], c) for k, n in k2.items()})
         k1 = total(n2, lambda k: k[1])
         n1 = Counter({k: draw(n, len(c1) - 1, uniform, d[0], keys[k], c) for k, n in k1.items()})
         chains.append(model(n1, k1, n2, k2, n3))
-    token = lambda u, v, x: np.mean([p2(v, x) if u is None else p3(u, v, x) for _, p2, p3 in chains])
+    token = lambda u, v, x: np.mean([p3(u, v, x) for _, _, p3 in chains])
     return {i: sum(log10(token(*r)) for r in rs) for i, rs in runs.items()}, token, c1, c2
 
 
+def test_places():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 5, 3000):
+        for x in (rng.integers(0, 2**63, n, dtype=np.uint64), rng.integers(0, 9, n).astype(np.uint64), rng.integers(0, 2**9, n).astype(np.uint64) << np.uint64(55)):
+            want, inverse = np.unique(x, return_inverse=True)
+            keys, at = pitman_yor.places(x)
+            assert (keys == want).all() and (at == inverse).all()
+
+
 def test_pitman_yor_by_hand(spark, docs):
     r = random.Random(12)
     vocabulary = sorted(set(prose(1, 60)))[:30]
