@@ -52,7 +52,11 @@ def forget(*frames: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of frames that nothing refers to any more."""
+    """Let Spark delete the shuffle files of frames that nothing refers to any more.
+
+    Spark itself holds on to the last query it has run, so a small one is run first.
+    """
+    spark.range(1).count()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
