@@ -161,22 +161,85 @@ def test_tagger_finds_spans(monkeypatch):
     assert sum(map(len, personal_data.found_spans(contexts, tagger))) == 0
 
 
+def _plain_spans(text, tagger):
+    """One Viterbi path over the whole text, in double precision, with the windows one by one."""
+    codes = personal_data.encode(text).astype(np.int64)
+    step, context = personal_data.WINDOW - 2 * personal_data.CONTEXT, personal_data.CONTEXT
+    padded = np.concatenate([np.zeros(context, np.int64), codes, np.zeros(personal_data.WINDOW, np.int64)])
+    rows = [tagger.emissions(padded[None, s : s + personal_data.WINDOW])[0][0, context : context + step] for s in range(0, len(codes), step)]
+    em = np.concatenate(rows)[: len(codes)]
+    return tagger.path(em)[0], em
+
+
+def test_spans_are_those_of_one_path_over_the_text():
+    tagger = personal_data.Tagger()
+    contexts = [" ".join(prose(i, 60)) for i in range(20)]
+    tagger.train(*personal_data.examples(contexts))
+    fast = personal_data.Fast(tagger)
+    r = random.Random(5)
+    texts = []
+    for i, c in enumerate(contexts):
+        for item in ("+1 (614) 555-8001", "joe@mail.org", "10.2.3.4", "4111 1111 1111 1111", "jane_doe [at] example.com", "5 @ 7", "12.05.2024"):
+            at = r.randrange(len(c))
+            c = c[:at] + " " + item + " " + c[at:]
+        texts.append(c)
+    ends = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    em = personal_data.text_emissions(personal_data.encode("".join(texts)), ends, fast)
+    sure = tagger.sure(em, ends)
+    assert 0.1 < sure.mean() < 1
+    for i, text in enumerate(texts):
+        tags, plain = _plain_spans(text, tagger)
+        assert np.abs(plain - em[:, ends[i] : ends[i + 1]].T).max() < 1e-2
+        assert not (sure[ends[i] : ends[i + 1]] & (tags > 0)).any()
+        spans = {(personal_data.KINDS[tags[a] // 2], a) for a in range(len(tags)) if tags[a] % 2 == 1}
+        assert {(k, a) for k, a, _ in personal_data.found_spans([text], tagger)[0]} <= spans
+    together = personal_data.found_spans(texts, tagger)
+    assert together == [personal_data.found_spans([t], tagger)[0] for t in texts]
+
+
 def test_spelled_addresses_without_digits():
-    """Without a digit or an at sign near, or with one that is just far enough to cut the span."""
+    """Without a digit or an at sign anywhere near."""
     around = "here is some plain text without any numbers at all and then "
-    spans = ["jane_doe [at] example.com", "markus.lindberger (at) sample.org", "someone.with.a.very.long.name [at] department.example.co.uk", "ann AT example.net"]
-    for tail in (" and more of the same text follows", " and 7 more"):
-        for span in spans:
-            text = around + span + tail
-            assert any(a <= len(around) and len(around) + len(span) <= b for a, b in personal_data.regions(text)), text
-    assert personal_data.regions("we met at noon and (later) looked at it") == []
-    long = "ab1" * 30_000
-    assert personal_data.regions(long) == [(0, len(long))]
+    spans = ["jane_doe [at] example.com", "markus.lindberger (at) sample.org"]
     tagger = personal_data.Tagger()
     tagger.train(*personal_data.examples([around * 4]))
-    want = spans[:2]
-    texts = [around + x + " and more of the same text follows" for x in want]
-    assert personal_data.found_spans(texts, tagger) == [[("email", len(around), len(around) + len(x))] for x in want]
+    texts = [around + x + " and more of the same text follows" for x in spans]
+    assert personal_data.found_spans(texts, tagger) == [[("email", len(around), len(around) + len(x))] for x in spans]
+    assert personal_data.found_spans(["write to alice [at] example.com today", ""], tagger)[0] == [("email", 9, 31)]
+
+
+def test_base_patterns():
+    """All four kinds against the patterns as they are given, on random strings, and the digest of the query."""
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    card = re.compile(r"[0-9]([\x20-]?[0-9])+")
+    phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    only = lambda x: re.sub("[^0-9]", "", x)
+    good = {
+        "email": (email, lambda x: True),
+        "ip": (ip, lambda x: all(int(p) <= 255 for p in x.split("."))),
+        "card": (card, lambda x: 13 <= len(only(x)) <= 19 and personal_data.luhn(only(x))),
+        "phone": (phone, lambda x: 9 <= len(only(x)) <= 15),
+    }
+    r = random.Random(2)
+    some = 0
+    for n in range(12_000):
+        letters = ("0123456789 -", "0123456789.", "+0123456789()- .", "ab.@-%01 ")[n % 4]
+        u = "".join(r.choice(letters) for _ in range(r.choice((20, 45))))
+        want = {k: [m.span() for m in p.finditer(u) if ok(m.group())] for k, (p, ok) in good.items()}
+        some += sum(map(len, want.values()))
+        assert personal_data.base_spans(u) == want
+    assert some > 1000
+
+
+def test_personal_data_query(spark, docs):
+    texts = {1: "a@b.cd 1.2.3.4", 2: None, 3: "+1 (614) 555-8001 or 4111 1111 1111 1111", 4: "x"}
+    out = {r["doc_id"]: r for r in personal_data.personal_data(docs(texts), personal_data.Tagger()).collect()}
+    want = {1: "email:0:6,ip:7:14", 2: "", 3: "card:21:40,phone:0:17", 4: ""}
+    for i, spans in want.items():
+        assert out[i]["base_sha256"] == hashlib.sha256(spans.encode()).hexdigest()
+        assert set(spans.split(",")) - {""} <= set(out[i]["spans"].split(","))
+    assert [out[1][f"n_{k}"] for k in personal_data.KINDS] == [1, 1, 0, 0] and [out[3][f"n_{k}"] for k in personal_data.KINDS] == [0, 0, 1, 1]
 
 
 def test_pieces_match_the_library():

@@ -2,10 +2,10 @@
 
 The network is trained in numpy from labelled spans: base spans found by pattern in a bounded sample of the corpus, and
 generated ones in the same contexts, in other spellings than the patterns know (numbers without a plus, spelled-out
-addresses, spaced digits), beside look-alikes that aren't personal data. Every region that may hold such data is cut
-into overlapping windows; the windows' scores are averaged where they overlap, and one Viterbi path over the whole region
-reconciles them. Every kind of span has a digit, an at sign or a spelled-out one, so characters far from any of these
-need no network.
+addresses, spaced digits), beside look-alikes that aren't personal data. Every character of every text goes through the
+network, in overlapping windows, and has its scores from the window that holds it nearest to its middle. One Viterbi path
+over the whole text reconciles the windows: where a character is outside of all spans on the best path (``sure``, an exact bound on what a span can gain), the path falls
+apart, so only the stretches between such characters are decoded.
 """
 
 from __future__ import annotations
@@ -23,12 +23,18 @@ from .shared import documents
 from .textblocks import pieces
 
 KINDS = ("email", "ip", "card", "phone")
+BLOCK_BYTES = 512 << 10
 TAGS = 1 + 2 * len(KINDS)  # outside, and beginning and inside of each kind
 #: Texts with candidates that contexts and labelled spans are taken from, at most.
 SAMPLE = 400
-EXAMPLES, STEPS, BATCH, RATE = 4000, 900, 64, 0.015
-HIDDEN, EMBED = 24, 12
-WINDOW, STRIDE, MARGIN = 64, 32, 20
+EXAMPLES, STEPS, BATCH, RATE = 4000, 1200, 64, 0.015
+HIDDEN, EMBED = 12, 12
+#: Characters of a window, those at either end that only give context to its middle, and windows that go through the network together.
+WINDOW, CONTEXT, TOGETHER = 128, 12, 1024
+#: Characters of a training example.
+EXAMPLE = 64
+#: Weight of the loss of single characters.
+ALONE = 0.3
 #: A span of the network counts if the path has it and its characters' share of the probability is this large.
 CERTAIN = 0.5
 
@@ -38,8 +44,6 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]")
-#: At signs as words: in brackets, or between spaces before something with a dot in it, as every address has.
-_SPELLED = re.compile(r"[\[(]\x20*(?:at|AT)\x20*[\])]|\x20(?:at|AT)\x20(?=\S*[A-Za-z0-9-]\.[A-Za-z])")
 
 
 def luhn(digits: str) -> bool:
@@ -84,13 +88,18 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
-# Characters as a few dozen classes: letters by themselves, other scripts as one.
+# Characters as a few dozen classes: ASCII letters by themselves, other scripts as one.
 _CODES = {c: i + 1 for i, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789 .,-+()@[]{}:;/_=%\"'\n#*!?|&$")}
 SYMBOLS = len(_CODES) + 3
+_code: np.ndarray | None = None
 
 
 def encode(text: str) -> np.ndarray:
-    return np.array([_CODES.get(c.lower() if c.isascii() else c, SYMBOLS - 1 if c.isalpha() else SYMBOLS - 2) for c in text], np.int64)
+    """Class of each character; 0 stands for what is outside of a text."""
+    global _code
+    if _code is None:
+        _code = np.array([_CODES.get(chr(c).lower() if c < 128 else chr(c), SYMBOLS - 1 if chr(c).isalpha() else SYMBOLS - 2) for c in range(0x110000)], np.uint8)
+    return _code[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
 
 class Tagger:
@@ -114,9 +123,9 @@ class Tagger:
 
     def _side(self, x: np.ndarray, side: str) -> tuple[np.ndarray, list]:
         n, T = x.shape[:2]
-        h, c = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN))
+        h, c = np.zeros((n, HIDDEN), x.dtype), np.zeros((n, HIDDEN), x.dtype)
         pre = x @ self.p[f"W{side}"] + self.p[f"c{side}"]
-        out, kept = np.empty((n, T, HIDDEN)), []
+        out, kept = np.empty((n, T, HIDDEN), x.dtype), []
         for t in range(T) if side == "f" else range(T - 1, -1, -1):
             a = pre[:, t] + h @ self.p[f"U{side}"]
             gates = 1 / (1 + np.exp(-a[:, : 3 * HIDDEN]))
@@ -137,7 +146,10 @@ class Tagger:
         return h @ self.p["O"] + self.p["o"], (e, h, kf, kb)
 
     def loss(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
-        """Mean negative log likelihood of the tags, and its gradient."""
+        """Mean negative log likelihood of the tags, on the paths and by the single characters' scores, and its gradient.
+
+        The second part keeps characters apart without the transitions' help, so that few of them are unsure.
+        """
         em, (e, h, kf, kb) = self.emissions(x)
         n, T, _ = em.shape
         A, S = self.transitions()
@@ -152,18 +164,22 @@ class Tagger:
         gold = S[y[:, 0]] + np.take_along_axis(em, y[..., None], 2)[..., 0].sum(1) + A[y[:, :-1], y[:, 1:]].sum(1)
         d = share.copy()
         np.put_along_axis(d, y[..., None], np.take_along_axis(d, y[..., None], 2) - 1, 2)
-        d /= n
+        dS = d[:, 0].sum(0) / n
+        alone = np.exp(em - _lse(em, 2)[..., None])
+        single = -np.log(np.take_along_axis(alone, y[..., None], 2)).sum() / n
+        np.put_along_axis(alone, y[..., None], np.take_along_axis(alone, y[..., None], 2) - 1, 2)
+        d = (d + ALONE * alone) / n
         dA = np.zeros((TAGS, TAGS))
         for t in range(1, T):
             dA += np.exp(alpha[:, t - 1, :, None] + A + (em[:, t] + beta[:, t])[:, None, :] - z[:, None, None]).sum(0)
         np.subtract.at(dA, (y[:, :-1].reshape(-1), y[:, 1:].reshape(-1)), 1)
-        g = {"A": np.where(self.barred, 0, dA / n), "S": np.where(self.first, 0, d[:, 0].sum(0)), "o": d.sum((0, 1)), "O": np.einsum("nth,ntk->hk", h, d)}
+        g = {"A": np.where(self.barred, 0, dA / n), "S": np.where(self.first, 0, dS), "o": d.sum((0, 1)), "O": np.einsum("nth,ntk->hk", h, d)}
         dh = d @ self.p["O"].T
         de = np.zeros_like(e)
         for side, kept, part in (("f", kf, dh[..., :HIDDEN]), ("b", kb, dh[..., HIDDEN:])):
             W, Us = self.p[f"W{side}"], self.p[f"U{side}"]
             gW, gU, gc = np.zeros_like(W), np.zeros_like(Us), np.zeros(4 * HIDDEN)
-            later, carry = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN))
+            later, carry = np.zeros((n, HIDDEN), e.dtype), np.zeros((n, HIDDEN), e.dtype)
             for t, before, old, f, i, o, gg, tc in reversed(kept):
                 dhid = part[:, t] + later
                 dc = dhid * o * (1 - tc**2) + carry
@@ -176,10 +192,12 @@ class Tagger:
             g |= {f"W{side}": gW, f"U{side}": gU, f"c{side}": gc}
         gE = np.zeros_like(self.p["E"])
         np.add.at(gE, x.reshape(-1), de.reshape(-1, EMBED))
-        return float((z - gold).mean()), g | {"E": gE}
+        return float((z - gold).mean() + ALONE * single), g | {"E": gE}
 
     def train(self, x: np.ndarray, y: np.ndarray, seed: int = 4) -> None:
+        """Adam in single precision."""
         rng = np.random.Generator(np.random.PCG64(seed))
+        self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         for step in range(1, STEPS + 1):
             part = rng.integers(0, len(x), BATCH)
@@ -187,13 +205,13 @@ class Tagger:
             norm = np.sqrt(sum(float((v**2).sum()) for v in g.values()))
             rate = RATE * 0.5 * (1 + np.cos(np.pi * step / (STEPS + 1)))
             for k, v in g.items():
-                v = v * min(1.0, 5 / (norm + 1e-9))
+                v = v.astype(np.float32) * np.float32(min(1.0, 5 / (norm + 1e-9)))
                 first[k] = 0.9 * first[k] + 0.1 * v
                 second[k] = 0.99 * second[k] + 0.01 * v**2
-                self.p[k] = self.p[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
+                self.p[k] = self.p[k] - np.float32(rate) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
 
     def path(self, em: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best tags of one region and their shares of the probability."""
+        """Best tags of a stretch that begins a text or follows an outside character, and ends a text or comes before one; shares of the probability."""
         A, S = self.transitions()
         T = len(em)
         score, back = np.empty_like(em), np.zeros(em.shape, np.int64)
@@ -213,74 +231,143 @@ class Tagger:
         share = np.exp(alpha + beta - _lse(alpha[-1], 0))
         return tags, share[np.arange(T), tags]
 
+    def sure(self, em: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Characters that are outside on the best path of their text, whatever else is on it. Scores by tag; ``ends``: offsets of texts.
+
+        A span of the best path must gain something over outside characters in its place, as these are always allowed. Its
+        gain is at most what entering and leaving it can give, and what its first and its later characters give; the largest
+        such sum over all stretches that hold a character comes from running maxima of prefix sums.
+        """
+        A, S = self.transitions()
+        after = [t for t in range(TAGS) if not self.barred[0, t]]  # what may follow an outside character
+        size = np.diff(ends)
+        out = np.ones(em.shape[1], bool)
+        texts = np.flatnonzero(size)
+        for kind in range(len(KINDS)):
+            b, i = 1 + 2 * kind, 2 + 2 * kind
+            enter = max(S[b] - S[0], *(A[p, b] - A[p, 0] for p in range(TAGS)))
+            leave = max(0.0, *(A[last, q] - A[0, q] for last in (b, i) for q in after))
+            slack = float(enter + leave) + 1e-2
+            begin, later = em[b] - em[0], em[i] - (em[0] - np.float32(max(A[b, i], A[i, i]) - A[0, 0]))
+            # Texts in which no character gives anything need no sums.
+            some = texts[(np.maximum.reduceat(begin, ends[texts]) + slack >= 0) | (np.maximum.reduceat(later, ends[texts]) >= 0)]
+            if not len(some):
+                continue
+            n = size[some]
+            own = np.repeat(ends[some] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            place = np.arange(len(own)) + np.repeat(np.arange(len(some)), n)
+            # No stretch goes on into the next text.
+            total, first = np.full(len(own) + len(some), -1e8), np.full(len(own) + len(some), -1e8)
+            total[place], first[place] = later[own], begin[own]
+            np.cumsum(total, out=total)
+            first -= total
+            np.maximum.accumulate(first, out=first)
+            first += np.maximum.accumulate(total[::-1])[::-1]
+            out[own] &= first[place] + slack < 0
+        return out
+
+
+class Fast:
+    """The network's emissions in single precision, many windows at a time, all gates by one exponential."""
+
+    def __init__(self, tagger: Tagger):
+        p = {k: v.astype(np.float32) for k, v in tagger.p.items()}
+        scale = np.ones(4 * HIDDEN, np.float32)
+        scale[3 * HIDDEN :] = 2  # tanh(x) = 2 / (1 + exp(-2 x)) - 1
+        self.sides = [(-(p["E"] @ p[f"W{s}"] + p[f"c{s}"]) * scale, -p[f"U{s}"] * scale) for s in "fb"]
+        self.O, self.o = p["O"], p["o"]
+
+    def emissions(self, x: np.ndarray) -> np.ndarray:
+        """Scores of the tags, by place and window, for the middles of windows of codes."""
+        T, n = x.shape
+        a, b, g = np.empty((n, 4 * HIDDEN), np.float32), np.empty((n, 4 * HIDDEN), np.float32), np.empty((n, HIDDEN), np.float32)
+        out = None
+        for side, (table, U) in enumerate(self.sides):
+            h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
+            states = np.empty((T, n, HIDDEN), np.float32)
+            for t in range(T - CONTEXT) if side == 0 else range(T - 1, CONTEXT - 1, -1):
+                np.take(table, x[t], axis=0, out=a, mode="clip")
+                a += np.matmul(h, U, out=b)
+                np.exp(a, out=a)
+                a += 1
+                np.reciprocal(a, out=a)
+                np.multiply(a[:, 3 * HIDDEN :], 2, out=g)
+                g -= 1
+                c *= a[:, :HIDDEN]
+                g *= a[:, HIDDEN : 2 * HIDDEN]
+                c += g
+                h = np.tanh(c, out=states[t])
+                h *= a[:, 2 * HIDDEN : 3 * HIDDEN]
+            part = states[CONTEXT : T - CONTEXT].reshape(-1, HIDDEN) @ self.O[side * HIDDEN : (side + 1) * HIDDEN]
+            out = part if out is None else out + part
+        return (out + self.o).reshape(T - 2 * CONTEXT, n, TAGS)
+
 
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     m = x.max(axis=axis, keepdims=True)
     return (m + np.log(np.exp(x - m).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches of text within MARGIN of a digit or an at sign, spelled-out ones too, with the whole tokens at both ends."""
-    hints = [m.span() for m in _HINT.finditer(text)]
-    spelled = [m.span() for m in _SPELLED.finditer(text)]
-    out: list[list[int]] = []
-    for start, end in sorted(hints + spelled) if spelled else hints:
-        lo, hi = max(0, start - MARGIN), min(len(text), end + MARGIN)
-        done = out[-1][1] if out else 0
-        if hi <= done:
-            continue
-        while lo > done and not text[lo - 1].isspace():
-            lo -= 1
-        while hi < len(text) and not text[hi].isspace():
-            hi += 1
-        if out and lo <= done:
-            out[-1][1] = hi
-        else:
-            out.append([lo, hi])
-    return [(a, b) for a, b in out]
-
-
-def _windows(size: int) -> list[int]:
-    return [0] if size <= WINDOW else [*range(0, size - WINDOW, STRIDE), size - WINDOW]
+def text_emissions(codes: np.ndarray, ends: np.ndarray, fast: Fast) -> np.ndarray:
+    """Scores of the tags, by tag, for every character of the texts."""
+    step, size = WINDOW - 2 * CONTEXT, np.diff(ends)
+    count = -(-size // step)
+    text = np.repeat(np.arange(len(size)), count)
+    start = ends[:-1][text] + (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * step
+    out = np.empty((TAGS, len(codes)), np.float32)
+    for lo in range(0, len(text), TOGETHER):
+        first, last, begin = start[lo : lo + TOGETHER], ends[1:][text[lo : lo + TOGETHER]], ends[:-1][text[lo : lo + TOGETHER]]
+        at = first + np.arange(-CONTEXT, WINDOW - CONTEXT)[:, None]
+        inside = (at >= begin) & (at < last)
+        np.clip(at, 0, len(codes) - 1, out=at)
+        em = fast.emissions(codes[at] * inside)
+        middle = slice(CONTEXT, WINDOW - CONTEXT)
+        use = inside[middle].T
+        # Middles lie one after the other, without the places past their texts' ends.
+        got = em.transpose(2, 1, 0)[:, use]
+        out[:, first[0] : first[0] + got.shape[1]] = got
+    return out
 
 
-def found_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[str, int, int]]]:
-    """Spans of the network in each text."""
+def found_spans(texts: list[str], tagger: Tagger, fast: Fast | None = None) -> list[list[tuple[str, int, int]]]:
+    """Spans of the network in each whole text."""
+    fast = fast or Fast(tagger)
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    places = [(i, a, b) for i, t in enumerate(texts) for a, b in regions(t)]
-    for lo in range(0, len(places), 256):
-        part = places[lo : lo + 256]
-        cut = [(j, s) for j, (_, a, b) in enumerate(part) for s in _windows(b - a)]
-        codes = [encode(texts[i][a:b]) for i, a, b in part]
-        sums = [np.zeros((len(c), TAGS)) for c in codes]
-        seen = [np.zeros(len(c)) for c in codes]
-        for at in range(0, len(cut), 1024):
-            group = cut[at : at + 1024]
-            x = np.zeros((len(group), WINDOW), np.int64)
-            for k, (j, s) in enumerate(group):
-                c = codes[j][s : s + WINDOW]
-                x[k, : len(c)] = c
-            em, _ = tagger.emissions(x)
-            for k, (j, s) in enumerate(group):
-                n = min(WINDOW, len(codes[j]) - s)
-                # The middle of a window counts more than its ends, which see less context.
-                weight = np.minimum(np.arange(n) + 1, np.arange(n, 0, -1)).astype(float)
-                sums[j][s : s + n] += em[k, :n] * weight[:, None]
-                seen[j][s : s + n] += weight
-        for j, (i, a, _) in enumerate(part):
-            tags, share = tagger.path(sums[j] / seen[j][:, None])
-            text = texts[i]
-            t = 0
-            while t < len(tags):
-                if tags[t] % 2 == 1:
-                    kind, end = int(tags[t] // 2), t + 1
-                    while end < len(tags) and tags[end] == tags[t] + 1:
-                        end += 1
-                    if share[t:end].min() >= CERTAIN and plausible(KINDS[kind], text[a + t : a + end], text, a + t, a + end):
-                        out[i].append((KINDS[kind], a + t, a + end))
-                    t = end
-                else:
-                    t += 1
+    ends = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    if not ends[-1]:
+        return out
+    em = text_emissions(encode("".join(texts)), ends, fast)
+    unsure = ~tagger.sure(em, ends)
+    edge = np.diff(np.concatenate([[0], unsure.astype(np.int8), [0]]))
+    lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    # Stretches end with their text.
+    cuts = ends[(ends > 0) & (ends < ends[-1])]
+    cuts = cuts[unsure[cuts] & unsure[cuts - 1]]
+    lo, hi = np.sort(np.concatenate([lo, np.unique(cuts)])), np.sort(np.concatenate([hi, np.unique(cuts)]))
+    row = np.searchsorted(ends, lo, "right") - 1
+    S = tagger.transitions()[1]
+    A = tagger.transitions()[0]
+    for i, a, b in zip(row.tolist(), lo.tolist(), hi.tolist(), strict=True):
+        start, stop = int(ends[i]), int(ends[i + 1])
+        part = em[:, a:b].T.astype(np.float64)
+        if a > start:
+            part[0] += A[0] - S  # an outside character stands before, not a text's beginning
+            part[0, tagger.first] = -1e4
+        if b < stop:
+            part[-1] += A[:, 0]
+        tags, share = tagger.path(part)
+        t = 0
+        while t < len(tags):
+            if tags[t] % 2 == 1:
+                kind, end = int(tags[t] // 2), t + 1
+                while end < len(tags) and tags[end] == tags[t] + 1:
+                    end += 1
+                x, y = a - start + t, a - start + end
+                if share[t:end].min() >= CERTAIN and plausible(KINDS[kind], texts[i][x:y], texts[i], x, y):
+                    out[i].append((KINDS[kind], x, y))
+                t = end
+            else:
+                t += 1
     return out
 
 
@@ -334,17 +421,17 @@ def examples(texts: list[str], seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
         ])
 
     makers = (email, ip, card, phone)
-    contexts = [t for t in texts if len(t) > WINDOW] or ["the words of this text stand around what is found in it, and so on for a while. " * 2]
-    x, y = np.zeros((EXAMPLES, WINDOW), np.int64), np.zeros((EXAMPLES, WINDOW), np.int64)
+    contexts = [t for t in texts if len(t) > EXAMPLE] or ["the words of this text stand around what is found in it, and so on for a while. " * 2]
+    x, y = np.zeros((EXAMPLES, EXAMPLE), np.int64), np.zeros((EXAMPLES, EXAMPLE), np.int64)
     for n in range(EXAMPLES):
         t = pick(contexts)
-        at = int(rng.integers(0, len(t) - WINDOW))
-        around = t[at : at + WINDOW]
+        at = int(rng.integers(0, len(t) - EXAMPLE))
+        around = t[at : at + EXAMPLE]
         if n % 8 == 7:  # as the corpus has it, with its base spans
             where = next((a for s in base_spans(t).values() for a, _ in s), at)
-            lo = max(0, min(where - int(rng.integers(0, WINDOW // 2)), len(t) - WINDOW))
-            around = t[lo : lo + WINDOW]
-            marks = [(k, a - lo, b - lo) for k, (_, s) in enumerate(base_spans(t).items()) for a, b in s if a < lo + WINDOW and b > lo]
+            lo = max(0, min(where - int(rng.integers(0, EXAMPLE // 2)), len(t) - EXAMPLE))
+            around = t[lo : lo + EXAMPLE]
+            marks = [(k, a - lo, b - lo) for k, (_, s) in enumerate(base_spans(t).items()) for a, b in s if a < lo + EXAMPLE and b > lo]
             text = around
         else:
             text, marks = "", []
@@ -357,10 +444,12 @@ def examples(texts: list[str], seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
                     marks.append((k, len(text), len(text) + len(item)))
                 text += item + pick([" ", ", ", ". ", " ", "\n"])
             text += around[cut:]
-        c = encode(text[:WINDOW])
-        x[n, : len(c)] = c
+        # Some begin a text: nothing stands before them in their window.
+        gap = int(rng.integers(0, CONTEXT + 1)) if n % 4 == 0 else 0
+        c = encode(text[: EXAMPLE - gap])
+        x[n, gap : gap + len(c)] = c
         for k, a, b in marks:
-            a, b = max(a, 0), min(b, WINDOW)
+            a, b = max(a, 0) + gap, min(b + gap, EXAMPLE)
             if a < b:
                 y[n, a:b] = 2 + 2 * k
                 y[n, a] = 1 + 2 * k
@@ -368,10 +457,17 @@ def examples(texts: list[str], seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Tagger:
-    """Train on at most ``sample`` texts' contexts, taken by a hash of the id from those with a candidate, cut around it."""
-    near = F.regexp_extract(F.col("text").cast("string"), r"(?s)([^0-9@]{0,100}[0-9@].{0,200})", 1)
-    rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
-    chosen = rows.select("id", F.substring(near, 1, 301).alias("near")).orderBy(F.xxhash64("id"), "id", "near").limit(sample).collect()
+    """Train on the contexts of about ``sample`` texts, taken by a hash of id and text and cut around their first candidate.
+
+    The bound on the hash comes from the number of rows, so what reaches the driver is about 2 * ``sample`` short strings
+    whatever the size of the table; a table that repeats one row more often than that gives fewer contexts.
+    """
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("lot"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
+    n = rows.count()
+    share = min(1.0, 4 * sample / max(1, n))
+    few = rows.where(F.col("lot") <= F.lit(int(-(2**63) + share * (2**64 - 1)))).where(F.col("text").rlike("[0-9@]"))
+    near = F.regexp_extract("text", r"(?s)([^0-9@]{0,100}[0-9@].{0,200})", 1)
+    chosen = few.select("lot", F.substring(near, 1, 301).alias("near")).dropDuplicates(["lot"]).orderBy("lot").limit(sample).collect()
     tagger = Tagger()
     tagger.train(*examples([r["near"] for r in chosen]))
     return tagger
@@ -387,12 +483,13 @@ _OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sh
 
 def _find(shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tagger, fast = shared.value, Fast(shared.value)
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, most=BLOCK_BYTES):
                 texts = [x or "" for x in part.column("text").to_pylist()]
                 base = [base_spans(t) for t in texts]
                 rows = []
-                for b, more in zip(base, found_spans(texts, shared.value), strict=True):
+                for b, more in zip(base, found_spans(texts, tagger, fast), strict=True):
                     flat = [(k, x, y) for k in KINDS for x, y in b[k]]
                     added = [s for s in more if not any(s[1] < y and x < s[2] for _, x, y in flat)]
                     rows.append((*(len(b[k]) for k in KINDS), hashlib.sha256(_joined(flat).encode()).hexdigest(), _joined(flat + added), len(added)))
