@@ -465,7 +465,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Tagger:
     rows = docs.select(F.xxhash64("doc_id", "text").alias("lot"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
     n = rows.count()
     share = min(1.0, 4 * sample / max(1, n))
-    few = rows.where(F.col("lot") <= F.lit(int(-(2**63) + share * (2**64 - 1)))).where(F.col("text").rlike("[0-9@]"))
+    few = rows.where(F.col("lot") <= F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64)))).where(F.col("text").rlike("[0-9@]"))
     near = F.regexp_extract("text", r"(?s)([^0-9@]{0,100}[0-9@].{0,200})", 1)
     chosen = few.select("lot", F.substring(near, 1, 301).alias("near")).dropDuplicates(["lot"]).orderBy("lot").limit(sample).collect()
     tagger = Tagger()
