@@ -310,6 +310,61 @@ def test_leaks_at_every_offset(spark):
         assert found == set(range(130)), i
 
 
+def _plain_leaks(texts, items):
+    """BM25 of every passage for every item, then runs of question and answer; over all items at once."""
+    cut = lambda t: re.sub(r"[^0-9A-Za-z\u0080-\U0010ffff]+", " ", t.lower()).split()
+    halves = {i: decontaminate.split_item(t) for i, t in items}
+    words = {i: cut("\n".join(h)) for i, h in halves.items()}
+    df = Counter(w for x in words.values() for w in set(x))
+    mean = sum(map(len, words.values())) / len(words)
+    k1, b = decontaminate.K1, decontaminate.B
+    weights = {}
+    for i, x in words.items():
+        c = Counter(x)
+        w = {t: np.log(1 + (len(words) - df[t] + 0.5) / (df[t] + 0.5)) * n * (k1 + 1) / (n + k1 * (1 - b + b * len(x) / mean)) for t, n in c.items()}
+        weights[i] = {t: v / sum(w.values()) for t, v in w.items()}
+    runs = lambda x, k: {tuple(x[j : j + k]) for j in range(len(x) - k + 1)} if k else set()
+    found = {}
+    for d, text in texts.items():
+        x = cut(text or "")
+        for i, w in weights.items():
+            step = max(32, 1 << (len(words[i]) - 1).bit_length())
+            for start in range(0, len(x), step):
+                p = x[start : start + 2 * step]
+                score = sum(w.get(t, 0) for t in set(p))
+                if score < decontaminate.SHARE - 1e-9:
+                    continue
+                shares = []
+                for h in halves[i]:
+                    h = cut(h)
+                    k = min(decontaminate.RUN, len(h))
+                    want = runs(h, k)
+                    shares.append(len(want & runs(p, k)) / len(want) if want else 1.0)
+                if shares[0] >= decontaminate.QUESTION and shares[1] >= decontaminate.ANSWER:
+                    found[d, i] = max(found.get((d, i), 0), score)
+    return found
+
+
+def test_leaks_by_hand(spark, docs):
+    """All retrieved and verified items, with scores from the whole benchmark, whatever the blocks hold."""
+    r = random.Random(21)
+    common = prose(77, 12)
+    items = [(i, " ".join(r.choices(common, k=8) + prose(500 + i, r.choice((6, 20, 50)))) + "\n" + " ".join(prose(700 + i, r.choice((1, 4, 9))))) for i in range(40)]
+    texts = {}
+    for i in range(120):
+        w = prose(i, r.randint(5, 150)) + r.choices(common, k=30)
+        t = items[r.randrange(40)][1].split()
+        t = [x if r.random() > 0.05 * (i % 4) else "zu" for x in t][r.choice((0, 0, 3)) :]
+        at = r.randint(0, len(w))
+        texts[i] = " ".join([*w[:at], *t, *w[at:]])
+    want = _plain_leaks(texts, items)
+    assert 30 < len(want) < 120
+    d, b = docs(texts), spark.createDataFrame(items, "item_id long, text string")
+    for words in (decontaminate.BLOCK_WORDS, 150):
+        found = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contamination(d, b.union(b), words).collect()}
+        assert found == pytest.approx(want)
+
+
 def test_wand_is_exact():
     items = [(i, " ".join(prose(i % 17, 10) + prose(i + 50, 8)), "") for i in range(300)]
     index = decontaminate.build(items, 64)

@@ -7,7 +7,8 @@ passages that may reach the threshold go through WAND with block maxima. What th
 the item's question and of its answer.
 
 The index covers items in blocks of at most ``BLOCK_WORDS`` words of similar length, so that what is sent to the
-executors has a fixed size whatever the benchmark; each pack of blocks is one pass over the texts.
+executors has a fixed size whatever the benchmark; each pack of blocks is one pass over the texts. Document frequencies,
+the number of items and their mean length are those of the whole benchmark, so scores don't depend on the blocks.
 """
 
 from __future__ import annotations
@@ -75,18 +76,36 @@ class Index:
     common: np.ndarray  # terms that many items have
     common_own: np.ndarray  # what such terms give each item together
     ends: np.ndarray  # postings before each term
+    all_docs: np.ndarray  # postings of all terms, one after the other
+    all_impacts: np.ndarray
 
 
-def build(items: list[tuple], passage: int) -> Index:
-    """``items``: (id, question, answer)."""
+@dataclass
+class Statistics:
+    """Of the whole benchmark, with the document frequencies of the terms at hand."""
+
+    items: int
+    mean: float
+    df: dict[int, int]
+
+
+def statistics(items: list[tuple]) -> Statistics:
+    """Of items (id, question, answer) that are all there are."""
+    b = block(pa.array([f"{q}\n{a}" for _, q, a in items], pa.string()), loose=True)
+    df = Counter(t for i in range(len(items)) for t in set(b.hashes[b.offsets[i] : b.offsets[i + 1]].tolist()))
+    return Statistics(len(items), float(np.diff(b.offsets).mean()) if items else 1.0, df)
+
+
+def build(items: list[tuple], passage: int, known: Statistics | None = None) -> Index:
+    """``items``: (id, question, answer); without ``known`` they are the whole benchmark."""
+    known = known or statistics(items)
     b = block(pa.array([f"{q}\n{a}" for _, q, a in items]), loose=True)
     lengths = np.diff(b.offsets)
-    mean = max(1.0, float(lengths.mean())) if len(items) else 1.0
+    mean, df = max(1.0, known.mean), known.df
     posting: dict[int, list[tuple[int, float]]] = {}
     counts = [Counter(b.hashes[b.offsets[i] : b.offsets[i + 1]].tolist()) for i in range(len(items))]
-    df = Counter(t for c in counts for t in c)
     for i, c in enumerate(counts):
-        weight = {t: np.log(1 + (len(items) - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * lengths[i] / mean)) for t, n in c.items()}
+        weight = {t: np.log(1 + (known.items - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * lengths[i] / mean)) for t, n in c.items()}
         own = sum(weight.values())
         for t, x in weight.items():
             posting.setdefault(t, []).append((i, x / own))
@@ -104,7 +123,7 @@ def build(items: list[tuple], passage: int) -> Index:
         if len(docs[t]) > max(2, COMMON * len(items)) and (own[docs[t]] + impacts[t]).max() <= COMMON_MOST:
             common[t] = True
             own[docs[t]] += impacts[t]
-    return Index([x[0] for x in items], keys, np.array([x.max() for x in impacts]), docs, impacts, maxima, parts, passage, common, own, np.concatenate([[0], np.cumsum([len(x) for x in docs])]))
+    return Index([x[0] for x in items], keys, np.array([x.max() for x in impacts]), docs, impacts, maxima, parts, passage, common, own, np.concatenate([[0], np.cumsum([len(x) for x in docs])]).astype(np.int64), np.concatenate([*docs, np.zeros(0, np.int64)]), np.concatenate([*impacts, np.zeros(0)]))
 
 
 def wand(index: Index, terms: list[int], threshold: float) -> list[tuple[int, float]]:
@@ -179,9 +198,9 @@ def _candidates(b: Block, index: Index) -> list[tuple[int, int, int, list[int]]]
     rare = ~index.common[terms]
     n = np.diff(index.ends)[terms[rare]]
     posting = np.repeat(index.ends[terms[rare]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    item = np.concatenate(index.docs)[posting]
+    item = index.all_docs[posting]
     pairs, inverse = np.unique(np.repeat(slots[rare], n) * len(index.item_ids) + item, return_inverse=True)
-    most = np.bincount(inverse, weights=np.concatenate(index.impacts)[posting], minlength=len(pairs)) + index.common_own[pairs % len(index.item_ids)]
+    most = np.bincount(inverse, weights=index.all_impacts[posting], minlength=len(pairs)) + index.common_own[pairs % len(index.item_ids)]
     reach = np.unique(pairs[most >= SHARE - 1e-9] // len(index.item_ids))
     out = []
     for s in reach:
@@ -224,32 +243,52 @@ def _runs_of(hashes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _sized(benchmark: DataFrame, words: int = BLOCK_WORDS) -> DataFrame:
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct terms of each item."""
+    for batch in batches:
+        for part in pieces(batch):
+            parts = [split_item(*x) for x in zip(*(part.column(c).to_pylist() for c in ("text", "question", "answer")), strict=True)]
+            b = block(pa.array([f"{q}\n{a}" for q, a in parts], pa.string()), loose=True)
+            terms = [np.unique(b.hashes[b.offsets[i] : b.offsets[i + 1]]).view(np.int64) for i in range(len(parts))]
+            yield pa.RecordBatch.from_arrays([part.column("uid"), pa.array(np.diff(b.offsets).astype(np.int64)), pa.array(terms, pa.list_(pa.int64()))], names=["uid", "size", "terms"])
+
+
+def _items(benchmark: DataFrame, words: int) -> DataFrame:
+    """Distinct items with words, their terms' document frequencies, length of a step, and block."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    extra = [F.col(c) if c in benchmark.columns else F.lit(None).cast("string").alias(c) for c in ("question", "answer")]
+    extra = [F.col(c).cast("string").alias(c) if c in benchmark.columns else F.lit(None).cast("string").alias(c) for c in ("question", "answer")]
     # Words as block() cuts them with ``loose``, of what split_item() takes: passages must be long enough for all of these.
     taken = F.when(extra[0].isNotNull() & extra[1].isNotNull(), F.concat_ws("\n", *extra)).otherwise(text)
     n = F.size(F.filter(F.split(taken, LOOSE_RUN), lambda w: w != ""))
     length = F.greatest(F.lit(32), F.pow(F.lit(2), F.ceil(F.log2(F.greatest(n, F.lit(1))))).cast("int"))
-    out = benchmark.select("item_id", text.alias("text"), *extra, n.alias("n"), length.alias("length")).where("n > 0")
-    # Which block: by a hash of the id, with as many blocks as the words of the class need.
-    total = out.groupBy("length").agg(F.ceil(F.sum("n") / F.lit(words * 0.7)).cast("long").alias("blocks"))
-    return out.join(total, "length").withColumn("block", F.pmod(F.xxhash64("item_id"), F.col("blocks")))
-
-
-def packs(benchmark: DataFrame) -> Iterator[list[Index]]:
-    """Indexes of blocks of items; a pack has at most about BLOCK_WORDS words and is searched in one pass over the texts."""
-    pack, words = [], 0
-    sized = stored(_sized(benchmark), "benchmark-items")
-    for length, part in sorted(tuple(r) for r in sized.select("length", "block").distinct().collect()):
-        rows = sized.where((F.col("length") == length) & (F.col("block") == part)).select("item_id", "text", "question", "answer").orderBy("item_id", "text").collect()
-        index = build([(r[0], *split_item(r[1], r[2], r[3])) for r in rows], 2 * length)
-        size = sum(len(x) for x in index.docs)
-        if pack and words + size > BLOCK_WORDS:
+    uid = F.xxhash64(F.col("item_id"), text, *[F.struct(e) for e in extra]).alias("uid")
+    rows = benchmark.select(uid, "item_id", text.alias("text"), *extra, n.alias("n"), length.alias("length")).where("n > 0").dropDuplicates(["uid"])
+    rows = stored(rows, "benchmark-items")
+    each = stored(rows.mapInArrow(_terms, "uid long, size long, terms array<long>"), "benchmark-terms")
+    single = each.select("uid", F.explode("terms").alias("term"))
+    df = single.groupBy("term").agg(F.count("*").alias("df"))
+    told = single.join(df, "term").groupBy("uid").agg(F.collect_list(F.struct("term", "df")).alias("dfs"))
+    # Which block: by the hash of the item, with as many blocks as the words of the class need.
+    total = rows.groupBy("length").agg(F.ceil(F.sum("n") / F.lit(words * 0.7)).cast("long").alias("blocks"))
+    out = rows.join(told, "uid").join(each.select("uid", "size"), "uid").join(total, "length")
+    return stored(out.withColumn("block", F.pmod("uid", F.col("blocks"))), "benchmark-blocks")
+
+
+def packs(benchmark: DataFrame, words: int = BLOCK_WORDS) -> Iterator[list[Index]]:
+    """Indexes of blocks of items; a pack has at most about ``words`` words and is searched in one pass over the texts."""
+    pack, held = [], 0
+    items = _items(benchmark, words)
+    count, mean = items.agg(F.count("*"), F.avg("size")).first()
+    for length, part in sorted(tuple(r) for r in items.select("length", "block").distinct().collect()):
+        rows = items.where((F.col("length") == length) & (F.col("block") == part)).select("item_id", "text", "question", "answer", "dfs").orderBy("item_id", "text", "uid").collect()
+        df = {t % 2**64: n for r in rows for t, n in r["dfs"]}
+        index = build([(r[0], *split_item(r[1], r[2], r[3])) for r in rows], 2 * length, Statistics(count, float(mean), df))
+        size = len(index.all_docs)
+        if pack and held + size > words:
             yield pack
-            pack, words = [], 0
+            pack, held = [], 0
         pack.append(index)
-        words += size
+        held += size
     if pack:
         yield pack
 
@@ -271,16 +310,17 @@ def _search(pack) -> Callable:
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, words: int = BLOCK_WORDS) -> DataFrame:
     """One row for each text and item that it leaks, with the best passage.
 
     Null and empty texts and items match nothing; an item of a few words is verified as a whole. Extra columns are
-    ignored, repeated rows are reported once each, empty tables give no rows.
+    ignored, repeated documents are reported once each, repeated items count once, empty tables give no rows. ``words``
+    bounds the index that is sent out at a time; results don't depend on it.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = spark.createDataFrame([], _FOUND)
-    for pack in packs(benchmark):
+    for pack in packs(benchmark, words):
         out = out.union(docs.mapInArrow(_search(spark.sparkContext.broadcast(pack)), _FOUND))
     return out
 
