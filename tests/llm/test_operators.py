@@ -90,7 +90,24 @@ def test_repeated_passages(spark, docs):
             if first[tuple(w[k : k + 50])] < i:
                 gone |= set(range(k, k + 50))
         want[i] = (len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest())
-    assert {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in substring_dedup.repeated_passages(docs(texts)).collect()} == want
+    # Few bits: many different windows share a hash, and paths fail their verification.
+    for bits in (64, 12, 3):
+        assert {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in substring_dedup.repeated_passages(docs(texts), bits).collect()} == want
+
+
+def test_paths(spark):
+    """Chains, forks and single edges; before and after are null at branches."""
+    chain = [(i, i - 1 if i > 100 else None, i + 1 if i < 357 else None) for i in range(100, 358)]
+    fork = [(1, None, None), (2, 1, 3), (3, 2, None), (5, None, 6), (6, None, 7), (7, 6, None), (9, 9, 9)]
+    out = {r["edge"]: (r["head"], r["steps"]) for r in substring_dedup.compacted(spark.createDataFrame(chain + fork, "edge long, before long, after long")).collect()}
+    assert out == {i: (100, i - 100) for i in range(101, 358)} | {3: (2, 1), 7: (6, 1)}
+
+
+def test_one_id_with_two_texts(spark, docs):
+    a, b, c = prose(1, 80), prose(2, 80), prose(3, 70)
+    rows = [(1, " ".join(a)), (2, " ".join(b + c)), (2, " ".join(c + a)), (3, " ".join(c + b)), (None, " ".join(b)), (4, " ".join(b))]
+    out = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in substring_dedup.repeated_passages(docs(rows)).collect())
+    assert out == [(0, 80, 0), (1, 80, 0), (2, 150, 0), (2, 150, 80), (3, 150, 150), (4, 80, 80)]
 
 
 def test_repeat_words(spark, docs):

@@ -61,6 +61,23 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: At most so many keys of a table hold more than this part of its rows each.
+HOT_KEYS = 20_000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Left join of ``rows`` with ``table``, which has one row for each ``key`` and in ``n`` how many rows have it.
+
+    Keys with more than one ``HOT_KEYS``-th of all rows are ``HOT_KEYS`` at most, so they are broadcast; no other key can
+    burden the task it is shuffled to.
+    """
+    total = table.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT_KEYS > F.lit(total)
+    few, rest = table.where(hot).drop("n"), table.where(~hot).drop("n")
+    others = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(rest, key, "left")
+    return rows.join(F.broadcast(few), key).unionByName(others)
+
+
 def bind(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often a lambda in ``body`` uses it."""
     return F.transform(F.array(value), body)[0]
