@@ -11,9 +11,14 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local folder only where that is unset."""
+    """``spark.checkpoint.dir`` of the session. Only a local session without it (as in tests) gets a folder of its own."""
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return conf.rstrip("/") if conf else _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tramline-"))
+    if conf:
+        return conf.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tramline-"))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
