@@ -408,6 +408,23 @@ def test_secrets(spark, docs):
     assert out[22]["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_many_matches_in_one_text(spark, docs):
+    """Tens of thousands of spans of three kinds in a text, with offsets as by the patterns one after the other."""
+    r = random.Random(4)
+    words = [r.choice([f"token={i:06d}ab", f"{i:024x}", "AKIA" + "B" * 16 + str(i), f"Xy{i}" * 6, "plain"]) for i in range(30_000)]
+    text = " ".join(words)
+    spans = [("assign", m.span()) for m in re.finditer(secret_scan.ASSIGN, text) if len(m.group(2)) >= 6]
+    spans += [("access", m.span()) for m in re.finditer(secret_scan.ACCESS, text)] + [("hex", m.span()) for m in re.finditer(secret_scan.HEX, text)]
+    more = [m.span() for m in re.finditer(secret_scan.GENERIC, text) if sum(c.isdigit() for c in m.group()) > 2 and sum(c.isalpha() for c in m.group()) > 2]
+    taken = np.zeros(len(text), bool)
+    for _, (a, b) in spans:
+        taken[a:b] = True
+    spans += [("live", s) for s in more if not taken[s[0] : s[1]].any()]
+    rank = {"assign": 0, "access": 1, "hex": 2, "live": 3}
+    want = ",".join(f"{k}:{a}:{b}" for k, (a, b) in sorted(spans, key=lambda x: (x[1][0], rank[x[0]], x[1][1])))
+    assert len(spans) > 20_000 and secret_scan.scan(docs({1: text})).first()["spans"] == want
+
+
 def test_classifier(spark, docs):
     texts, labels = {}, []
     for i in range(160):

@@ -99,6 +99,16 @@ def test_odd_rows(spark, folder, tmp_path):
             docs = stage(spark, docs, folder)
             docs.collect()
     assert {r["doc_id"] for r in docs.collect()} == {0, 1, 2, None, 4, 5}
+    # Null ids and one id with several texts: each row by its own text.
+    a, b = " ".join(prose(41, 100)), " ".join(prose(42, 100))
+    rows = [(None, a + " password = hunter22"), (None, b), (None, b + " x"), (7, "token = abcdef99"), (7, "clean words here"), (8, a), (9, "nothing " + a), (9, "other words"), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    order = lambda x: sorted(((r["doc_id"] or 0, r["text"]) for r in x.collect()))
+    clean = corpus_pipeline.secrets(spark, docs, folder)
+    assert order(clean) == sorted((i or 0, t) for k, (i, t) in enumerate(rows) if k not in (0, 3))
+    kept = corpus_pipeline.near_duplicates(spark, clean, folder)
+    assert [x for x in order(kept) if x[1] not in (b, b + " x")] == sorted([(7, "clean words here"), (8, a), (9, "other words")])
+    assert len(order(kept)) == 4
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, folder).count() == 0

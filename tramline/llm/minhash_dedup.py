@@ -1,7 +1,7 @@
 """Near-duplicates: many universal hash minima in bands, links verified on signatures and full sets, components.
 
 1. One pass over the texts makes shingle sets, ``ROWS * BANDS`` minima, a hash of each band and one byte of each
-   minimum (the signature). Texts with equal words are one class, held by its least id; only classes go on.
+   minimum (the signature). Texts with equal words are one class, held by one of its rows; only classes go on.
 2. In each bucket of a band every class is linked to the least one; the candidate with most bands in common is
    verified first. Then a few rounds link what is outside of the component of a bucket's pivot to the nearest pivot.
    Components of these links leave few buckets that hold more than one component.
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import documents, release, stored
+from .shared import documents, looked_up, release, stored
 from .textblocks import Block, U, block, mix, pieces
 
 ROWS, BANDS = 7, 56
@@ -84,7 +84,7 @@ def minima(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 _SKETCH = [f"s{j}" for j in range(SKETCH_LONGS)]
-_SIGNED = "doc_id long, n_shingles long, text_key binary, bands array<long>, signature binary, " + ", ".join(f"s{j} long" for j in range(SKETCH_LONGS))
+_SIGNED = "doc_id long, raw long, row long, n_shingles long, text_key binary, bands array<long>, signature binary, " + ", ".join(f"s{j} long" for j in range(SKETCH_LONGS))
 
 
 def _sign(size: int) -> Callable:
@@ -111,13 +111,15 @@ def _sign(size: int) -> Callable:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id").cast(pa.int64()),
+                        part.column("raw"),
+                        part.column("row"),
                         pa.array(n.astype(np.int64)),
                         pa.array(keys, pa.binary()),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.reshape(-1).view(np.int64))),
                         pa.array([small[full[r]].tobytes() if n[r] else b"" for r in range(part.num_rows)], pa.binary()),
                         *[pa.array(np.ascontiguousarray(sketch[:, j])) for j in range(SKETCH_LONGS)],
                     ],
-                    names=["doc_id", "n_shingles", "text_key", "bands", "signature", *_SKETCH],
+                    names=["doc_id", "raw", "row", "n_shingles", "text_key", "bands", "signature", *_SKETCH],
                 )
 
     return run
@@ -242,32 +244,37 @@ def _across(placed: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row; shingles have ``size`` words.
-
-    Null and empty texts, and texts of spaces, have no shingles and are linked with nothing. A null doc_id is linked
-    with nothing either and is its own component (null, kept). Repeated rows are one node: they share the component,
-    and all rows with its least id are kept. Extra columns are ignored; an empty table gives an empty result.
+    """doc_id, raw, n_shingles, component_id, kept and chosen for every row; shingles have ``size`` words.
+
+    Null and empty texts, and texts of spaces, have no shingles and are linked with nothing. Rows are judged by their
+    texts, so rows with one id and different texts may be in different components, and rows with a null id are in
+    components too: the component has its least id that isn't null, if any. ``kept`` tells whether a row has that id (or
+    null, where there is none), so all rows that repeat it are kept. ``chosen`` marks one id and text of each component,
+    where ``raw`` is a hash of the text: repeated rows are alike in it. Extra columns are ignored; an empty table gives
+    an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = stored(docs.mapInArrow(_sign(size), _SIGNED), "signed")
-    some = rows.where("n_shingles > 0 and doc_id is not null")
-    # Classes of equal word sequences. The join is on the id, so that a large class is no hot key.
-    classes = some.groupBy("text_key").agg(F.min("doc_id").alias("rep"))
-    reps = some.join(classes.withColumnRenamed("text_key", "class_key"), F.col("doc_id") == F.col("rep")).where("text_key = class_key")
-    reps = stored(reps.select("rep", "n_shingles", "signature", "bands", *_SKETCH).dropDuplicates(["rep"]), "classes")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("raw"))
+    # A row's number is drawn once, as the table is written.
+    rows = stored(docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_sign(size), _SIGNED), "signed")
+    some = rows.where("n_shingles > 0")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("raw"))).alias("first")
+    classes = stored(some.groupBy("text_key").agg(F.min("row").alias("rep"), F.count("*").alias("n"), first), "texts")
+    reps = some.join(classes.select("rep"), F.col("row") == F.col("rep"))
+    reps = stored(reps.select("rep", "doc_id", "raw", "n_shingles", "signature", "bands", *_SKETCH), "classes")
     members = reps.select("rep", F.explode("bands").alias("band"))
     buckets = stored(members.groupBy("band").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "buckets")
     members = stored(members.join(buckets, "band"), "members")
     candidates = members.where("rep <> least").groupBy(F.col("rep").alias("u"), F.col("least").alias("v")).agg(F.count("*").alias("n"))
     first = stored(candidates.groupBy("u").agg(F.max_by("v", F.struct("n", -F.col("v"))).alias("v")), "first-pairs")
-    held = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = stored(docs.join(held, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidate-texts")
+    held = reps.select("rep", F.col("doc_id").alias("_id"), F.col("raw").alias("_raw")).join(members.select("rep").distinct(), "rep")
+    whole = docs.join(held, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("raw") == F.col("_raw")))
+    texts = stored(whole.select(F.col("rep").alias("doc_id"), "text").dropDuplicates(["doc_id"]), "candidate-texts")
     release(docs.sparkSession)
     measured = _measured(first, texts, size)
     links = measured.where("linked").select("u", "v")
     known = measured.select(F.col("u").alias("rep"), F.col("v").alias("pivot"), "far")
     heads = measured.select(F.col("v").alias("rep")).distinct().join(known.select("rep"), "rep", "left_anti")
-    reps = stored(reps.drop("bands").join(known.union(heads.select("rep", F.col("rep").alias("pivot"), F.lit(0.0).alias("far"))), "rep", "left"), "classes")
+    reps = stored(reps.drop("bands", "doc_id", "raw").join(known.union(heads.select("rep", F.col("rep").alias("pivot"), F.lit(0.0).alias("far"))), "rep", "left"), "classes")
     part = components(links)
     for turn in range(ROUNDS):
         placed = _mixed(members, part, reps)
@@ -282,15 +289,20 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     named = more.join(label.select(F.col("rep").alias("u"), F.col("component").alias("cu")), "u", "left").join(label.select(F.col("rep").alias("v"), F.col("component").alias("cv")), "v", "left")
     joined = components(named.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")))
     joined = joined.select(F.col("node").alias("component"), F.col("component").alias("final"))
-    final = classes.select("text_key", "rep").join(part, "rep", "left").withColumn("component", F.coalesce("component", "rep")).join(joined, "component", "left")
-    final = final.select(F.col("text_key").alias("class_key"), F.coalesce("final", "component").alias("found"))
-    out = rows.select("doc_id", "n_shingles", "text_key").join(final, (F.col("text_key") == F.col("class_key")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id"))
+    final = classes.join(part, "rep", "left").withColumn("component", F.coalesce("component", "rep")).join(joined, "component", "left")
+    final = stored(final.select("text_key", "n", "first", F.coalesce("final", "component").alias("component")), "placed-classes")
+    release(docs.sparkSession)
+    whole = stored(final.groupBy("component").agg(F.min("first").alias("best"), F.count("*").alias("n")), "components")
+    named = looked_up(final.withColumnRenamed("n", "rows_of"), whole, "component").select("text_key", "best", F.col("rows_of").alias("n"))
+    out = looked_up(some.select("doc_id", "raw", "n_shingles", "text_key"), stored(named, "named-classes"), "text_key")
+    chosen = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("raw") == F.col("best.raw"))
+    out = out.select("doc_id", "raw", "n_shingles", F.col("best.doc_id").alias("component_id"), chosen.alias("chosen"))
+    out = out.unionByName(rows.where("n_shingles = 0").select("doc_id", "raw", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("chosen")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 _WORD = r"[^\x20\x09-\x0D]+"

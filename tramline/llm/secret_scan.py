@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bind, documents, stored
+from .shared import bind, documents, looked_up, stored
 
 _KEY = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
 ASSIGN = rf"""({_KEY})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -30,24 +30,63 @@ _UUID = "[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]
 RANDOM_LENGTH, RANDOM_BITS, RANDOM_CHANGES = 16, 3.0, 4
 
 
+def running(values: Column, least: Column, join) -> Column:
+    """Running results of ``join`` over an array of longs, from the ``least`` value on.
+
+    A fold that appends copies its array each time, so blocks of the root of the size are folded, then their last values.
+    """
+
+    def fold(a: Column) -> Column:
+        start = F.struct(least.alias("last"), F.array().cast("array<bigint>").alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            now = join(acc["last"], x)
+            return F.struct(now.alias("last"), F.concat(acc["out"], F.array(now)).alias("out"))
+
+        return F.aggregate(a, start, step, lambda acc: acc["out"])
+
+    def blocks(a: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(a))).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / size).cast("int")), lambda k: fold(F.slice(a, k * size + 1, size)))
+        done = lambda b: bind(fold(F.transform(b, lambda x: F.element_at(x, -1))), lambda last: F.transform(b, lambda x, k: F.transform(x, lambda y: join(y, F.coalesce(F.get(last, k - 1), least)))))
+        return F.flatten(bind(cut, done))
+
+    return bind(values, lambda a: F.when(F.size(a) <= 16, fold(a)).otherwise(blocks(a)))
+
+
 def _found(text: Column, pattern: str, kind: str, value, keep) -> Column:
     """Spans of the leftmost non-overlapping matches. ``value`` gives the secret of a match, ``keep`` says which stay."""
 
     def walk(parts: Column) -> Column:
-        matches = bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.zip_with(F.slice(parts, 1, F.size(parts) - 1), m, lambda p, x: F.struct(p.alias("p"), x.alias("m"))))
-        start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("out"))
-
-        def step(acc: Column, x: Column) -> Column:
-            at = acc["at"] + F.length(x["p"])
-            end = at + F.length(x["m"])
-            span = F.array(F.struct(at.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), value(x["m"]).alias("value")))
-            return F.struct(end.cast("bigint").alias("at"), F.concat(acc["out"], F.when(keep(x["m"]), span).otherwise(F.array().cast(_SPAN)).cast(_SPAN)).alias("out"))
+        def spans(m: Column) -> Column:
+            ends = running(F.zip_with(F.slice(parts, 1, F.size(parts) - 1), m, lambda p, x: (F.length(p) + F.length(x)).cast("bigint")), F.lit(0).cast("bigint"), lambda a, b: a + b)
+            every = F.zip_with(m, ends, lambda x, e: F.struct((e - F.length(x)).alias("start"), e.alias("end"), F.lit(kind).alias("kind"), x.alias("value")))
+            kept = F.filter(every, lambda s: keep(s["value"]))
+            return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), value(s["value"]).alias("value"))).cast(_SPAN)
 
-        return F.aggregate(matches, start, step, lambda acc: acc["out"])
+        return bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)
 
     return bind(F.split(text, pattern, -1), lambda parts: F.when(F.size(parts) <= 1, F.array().cast(_SPAN)).otherwise(walk(parts)))
 
 
+def apart(more: Column, base: Column) -> Column:
+    """The spans of ``more`` that touch none of ``base``.
+
+    In one order of base spans by start and the others by end, the largest end of the base spans so far tells.
+    """
+    item = lambda s, key, base_end: F.struct(key.alias("key"), base_end.alias("base_end"), s.alias("span"))
+    none = F.lit(-1).cast("bigint")
+    both = F.concat(F.transform(base, lambda s: item(s, s["start"], s["end"])), F.transform(more, lambda s: item(s, s["end"], none)))
+
+    def judged(ordered: Column) -> Column:
+        so_far = running(F.transform(ordered, lambda x: x["base_end"]), none, F.greatest)
+        clear = F.filter(F.zip_with(ordered, so_far, lambda x, e: F.struct(x["span"].alias("span"), ((x["base_end"] < 0) & (e <= x["span"]["start"])).alias("clear"))), lambda x: x["clear"])
+        return F.transform(clear, lambda x: x["span"])
+
+    # A base span that starts where another one ends doesn't touch it: -1 sorts first.
+    return F.when((F.size(base) == 0) | (F.size(more) == 0), more).otherwise(bind(F.sort_array(both), judged))
+
+
 def _order(span: Column) -> Column:
     rank = F.when(span["kind"] == "assign", 0).when(span["kind"] == "access", 1).when(span["kind"] == "hex", 2).otherwise(3)
     return F.struct(span["start"].alias("start"), rank.alias("rank"), span["end"].alias("end"), span["kind"].alias("kind"), span["value"].alias("value"))
@@ -104,8 +143,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     more = F.when(any_of, _found(text, GENERIC, "live", whole, lambda m: (digits(m) >= 3) & (letters(m) >= 3))).otherwise(none)
     repository = F.coalesce(F.col("source"), F.lit(""))
     out = docs.select("doc_id", F.sha1(text).alias("text_key"), repository.alias("repository"), F.split(repository, "/")[0].alias("owner"), base.alias("base"), more.alias("more"))
-    apart = F.filter("more", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return out.withColumn("more", apart)
+    return out.withColumn("more", apart(F.col("more"), F.col("base")))
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -126,7 +164,7 @@ def _by_text(found: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, strict: bool = False) -> DataFrame:
-    """Secrets of every row.
+    """Secrets of every row; ``text_key`` is the SHA-1 of its text.
 
     ``strict`` adds only what looks random, adds whatever has fewer owners than an example, and counts copies of a text
     once; without it the results are those of ``SQL``, which adds every run that one owner has.
@@ -141,7 +179,9 @@ def scan(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, strict: bool = F
     owners = ownership(_by_text(found) if strict else found)
     live = F.col("n_owners") < example_owners if strict else F.col("n_owners") == 1
     each = found.select("doc_id", "text_key", F.explode(F.concat("base", "more")).alias("s")).select("doc_id", "text_key", "s", F.sha2("s.value", 256).alias("hash")).distinct()
-    judged = each.join(owners, "hash").groupBy("doc_id", "text_key").agg(
+    # A value in a third of all rows is no hot key: its owners are looked up by broadcast.
+    owners = stored(each.groupBy("hash").agg(F.count("*").alias("n")).join(owners, "hash"), "owners")
+    judged = looked_up(each, owners, "hash").groupBy("doc_id", "text_key").agg(
         F.count_if((F.col("s.kind") != "live") & (F.col("n_owners") == 1)).alias("n_owned"),
         F.count_if((F.col("s.kind") != "live") & (F.col("n_owners") >= example_owners)).alias("n_example"),
         F.collect_list(F.when((F.col("s.kind") == "live") & live, F.col("s"))).alias("added"),
@@ -151,13 +191,13 @@ def scan(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, strict: bool = F
     added = F.coalesce(F.col("added"), F.array().cast(_SPAN))
     out = found.join(judged, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
     return out.select(
-        "doc_id", *[n(k).alias(f"n_{k}") for k in BASE_KINDS], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", added)).alias("spans"),
+        "doc_id", "text_key", *[n(k).alias(f"n_{k}") for k in BASE_KINDS], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", added)).alias("spans"),
         F.size(added).cast("long").alias("n_live"), F.coalesce("n_owned", F.lit(0)).cast("long").alias("n_owned"), F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"),
     )
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(documents(spark, sf_dir))
+    return scan(documents(spark, sf_dir)).drop("text_key")
 
 
 def _sql_found(kind: str, pattern: str, keep: str, value: str) -> str:
