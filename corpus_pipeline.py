@@ -7,23 +7,21 @@ four keep the columns of ``documents`` and drop rows; the last one returns the t
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline.llm import decontaminate, minhash_dedup, pieces, quality_classifier, secret_scan
-from tramline.llm.shared import shared_dir
+from tramline.llm.shared import forget, stored
 
 #: Words of a shingle for near-duplicates; op1's own query has four.
 SHINGLE = 5
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Rows whose id isn't among ``dropped.doc_id``."""
-    ids = dropped.select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(ids, F.col("doc_id") == F.col("_dropped"), "left_anti")
+def _dropped(docs: DataFrame, verdicts: DataFrame, key: str, of_text: Column) -> DataFrame:
+    """Rows without those whose id and text are among ``verdicts`` (doc_id, ``key``); null ids count as equal."""
+    bad = verdicts.select(F.col("doc_id").alias("_id"), F.col(key).alias("_key")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (of_text == F.col("_key")), "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,10 +31,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each group; of rows that repeat it, one."""
+    """Keep one document of each group: that with the least id, or one of those without an id. Repeated rows are kept once."""
     found = minhash_dedup.near_duplicates(docs, SHINGLE)
     once = docs.select(*COLUMNS).dropDuplicates(["doc_id", "text"])
-    return _without(once, found.where(~F.col("kept")))
+    return _dropped(once, found.where(~F.col("chosen")), "raw", F.xxhash64(F.col("text").cast("string")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +46,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents with a credential that isn't a widely copied example."""
     found = secret_scan.scan(docs, strict=True)
     live = F.col("n_assign") + F.col("n_access") + F.col("n_hex") - F.col("n_example") + F.col("n_live") > 0
-    return _without(docs.select(*COLUMNS), found.where(live))
+    return _dropped(docs.select(*COLUMNS), found.where(live), "text_key", F.sha1(F.coalesce("text", F.lit(""))))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,12 +66,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    top = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        path = f"{top}/{k}-{name}"
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+    """All stages, each written to the shared folder and read again; a stage's table goes once the next one is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES:
+        now = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            forget(before)
+        docs = before = now
     return docs
