@@ -465,7 +465,7 @@ def _plain_pitman_yor(texts):
     runs = {}
     for i, t in texts.items():
         tokens, row = py.tokens_of(pa.array([t]))
-        r = py.runs_of(tokens, row)
+        r = py.runs_of(tokens, py.firsts(row))
         three = py.triples_of(r, np.ones(len(r.keys[1]), bool))
         w = words[i]
         for j, x in enumerate(w):
