@@ -66,6 +66,20 @@ def test_near_duplicates(spark, docs):
     assert {r["doc_id"]: r["n_shingles"] for r in out} == {i: len(s) for i, s in sets.items()}
 
 
+def test_near_duplicates_by_text(spark, docs):
+    """Null ids, one id with several texts, repeated rows and ids near the ends of a long."""
+    a, b = prose(31, 60), prose(32, 60)
+    join = " ".join
+    rows = [(5, join(a)), (5, join(b)), (None, join([*a, "za"])), (3, join([*b, "zu"])), (None, join(prose(33, 50))), (None, join(prose(33, 50))), (8, join(a)), (8, join(a)), (None, None)]
+    for shift in (0, 2**63 - 10):
+        moved = [(i if i is None else i + shift, t) for i, t in rows]
+        out = minhash_dedup.near_duplicates(docs(moved))
+        got = sorted(((r["doc_id"] or 0) - (shift if r["doc_id"] else 0), r["n_shingles"], None if r["component_id"] is None else r["component_id"] - shift, r["kept"], r["chosen"]) for r in out.collect())
+        assert got == sorted(
+            [(5, 57, 5, True, True), (5, 57, 3, False, False), (0, 58, 5, False, False), (3, 58, 3, True, True), (0, 47, None, True, True), (0, 47, None, True, True), (8, 57, 5, False, False), (8, 57, 5, False, False), (0, 0, None, True, True)],
+        )
+
+
 def test_repeated_passages(spark, docs):
     shared = [prose(900 + k, 70) for k in range(4)]
     r = random.Random(9)

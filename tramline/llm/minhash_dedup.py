@@ -243,6 +243,25 @@ def _across(placed: DataFrame) -> DataFrame:
     return pairs.mapInArrow(_alike, "u long, v long")
 
 
+#: Ids below this in size number their texts themselves.
+_OWN = 1 << 62
+
+
+def _numbered(classes: DataFrame) -> DataFrame:
+    """``classes`` with a number of each text: its least id, or one above all ids where there is none or another text has it.
+
+    In buckets the least number is the first hub, and of a group of copies the least id is often what the others come from.
+    """
+    classes = stored(classes, "unnumbered-texts")
+    ids = F.col("first.doc_id")
+    low, high = classes.agg(F.min(ids), F.max(ids)).first()
+    if low is None or low < -_OWN or high >= _OWN:
+        return classes.withColumn("rep", F.col("row"))
+    holder = classes.where(ids.isNotNull()).groupBy(ids.alias("_id")).agg(F.min("row").alias("_row"))
+    own = classes.join(holder, (ids == F.col("_id")) & (F.col("row") == F.col("_row")), "left")
+    return own.withColumn("rep", F.coalesce("_id", F.lit(_OWN) + F.col("row"))).drop("_id", "_row")
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, raw, n_shingles, component_id, kept and chosen for every row; shingles have ``size`` words.
 
@@ -258,8 +277,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     rows = stored(docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_sign(size), _SIGNED), "signed")
     some = rows.where("n_shingles > 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("raw"))).alias("first")
-    classes = stored(some.groupBy("text_key").agg(F.min("row").alias("rep"), F.count("*").alias("n"), first), "texts")
-    reps = some.join(classes.select("rep"), F.col("row") == F.col("rep"))
+    classes = stored(_numbered(some.groupBy("text_key").agg(F.min("row").alias("row"), F.count("*").alias("n"), first)), "texts")
+    reps = some.join(classes.select("row", "rep"), "row")
     reps = stored(reps.select("rep", "doc_id", "raw", "n_shingles", "signature", "bands", *_SKETCH), "classes")
     members = reps.select("rep", F.explode("bands").alias("band"))
     buckets = stored(members.groupBy("band").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "buckets")
