@@ -41,7 +41,7 @@ def test_links(extract):
     assert set(by) == {"10_0_f", "10_0_r", "11_0_f", "11_0_r", "11_0_f_spec", "11_0_r_spec", "12_0_r", "13_0_f", "13_0_r"}
     assert by["10_0_f"]["lanes"] == 2 and by["10_0_f"]["freespeed"] == pytest.approx(50 / 3.6) and by["10_0_f"]["length"] == 100
     assert by["11_0_f"]["length"] == 100 and by["11_0_f_spec"]["lanes"] == 1 and by["11_0_f_spec"]["modes"] == ["bus"]
-    assert (by["12_0_r"]["from_node"], by["12_0_r"]["to_node"]) == ("4", "2") and by["13_0_f"]["modes"] == ["bus"]
+    assert (by["12_0_r"]["from_node"], by["12_0_r"]["to_node"]) == ("4", "2") and by["13_0_f"]["modes"] == ["bus", "pt"] and by["13_0_f"]["capacity"] == 9999
     assert by["10_0_f"]["attrs"]["osm:way:name"] == "AANDB"
     assert {r["node_id"] for r in nodes.collect()} == {"1", "2", "3", "4", "5"}
     wkt = {r["LinkId"]: r["Geometry"] for r in O.geometry_table(links, links).collect()}
@@ -57,7 +57,7 @@ def test_restrictions_and_subnetworks(extract):
     links, _ = O.links_of(extract)
     assert {(r["link_id"], r["mode"], tuple(map(tuple, r["next_links"]))) for r in O.restrictions(extract, links).collect()} == {("10_0_f", "car", (("11_0_f",), ("11_0_f_spec",)))}
     kept = {r["link_id"]: set(r["modes"]) for r in O.routable(links, {"car": ("car",), "bus": ("car", "bus")}).collect()}
-    assert "12_0_r" not in kept and kept["10_0_f"] == {"bus", "car"} and kept["13_0_f"] == {"bus"}
+    assert kept["12_0_r"] == {"pt"} and kept["10_0_f"] == {"bus", "car"} and kept["13_0_f"] == {"bus", "pt"}
 
 
 def test_lines_and_stops(extract):
@@ -73,3 +73,36 @@ def test_tag_functions(spark):
     assert row.select(T.reserved_lanes("t", True, F.lit(True)).alias("n"), T.direction("t", F.lit(False)).alias("d")).first() == (2.0, 1)
     match = lambda pos, exc=None: row.select(T.tag_matches("t", pos, exc).alias("m")).first()["m"]
     assert match({}) and match({"junction": None}) and match({"junction": ["roundabout"]}) and not match({"highway": None}) and not match({"junction": None}, {"bus:lanes": None}) and not match({}, {"x": None})
+
+
+@pytest.mark.parametrize(
+    ("key", "value", "lanes", "speed", "capacity", "oneway", "mode"),
+    [
+        ("highway", "motorway", 2, 120, 2000, True, "car"),
+        ("highway", "motorway_link", 1, 80, 1500, True, "car"),
+        ("highway", "trunk", 2, 80, 2000, False, "car"),
+        ("highway", "trunk_link", 1, 50, 1500, False, "car"),
+        ("highway", "primary", 1, 80, 1500, False, "car"),
+        ("highway", "primary_link", 1, 60, 1500, False, "car"),
+        ("highway", "secondary", 1, 30, 1000, False, "car"),
+        ("highway", "secondary_link", 1, 30, 1000, False, "car"),
+        ("highway", "tertiary", 1, 25, 600, False, "car"),
+        ("highway", "tertiary_link", 1, 25, 600, False, "car"),
+        ("highway", "unclassified", 1, 25, 600, False, "car"),
+        ("highway", "residential", 1, 15, 600, False, "car"),
+        ("highway", "living_street", 1, 10, 300, False, "car"),
+        ("railway", "rail", 1, 160, 9999, False, "rail"),
+        ("railway", "tram", 1, 40, 9999, True, "rail"),
+        ("railway", "light_rail", 1, 80, 9999, False, "rail"),
+    ],
+)
+def test_way_defaults(key, value, lanes, speed, capacity, oneway, mode):
+    (d,) = [d for d in O.DEFAULTS if (d.key, d.value) == (key, value)]
+    assert (d.lanes, d.freespeed * 3.6, d.factor, d.capacity, d.oneway, d.modes) == (lanes, pytest.approx(speed), 1.0, capacity, oneway, (mode,))
+    assert len(O.DEFAULTS) == 16
+
+
+def test_osm_modes(spark):
+    names = ["bus", "trolleybus", "bicycle", "motorcycle", "motorcar", "hgv", "psv", "train"]
+    found = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(T.network_mode("n")).collect()]
+    assert found == ["bus", "bus", "bike", "motorcycle", "car", "hgv", "psv", "train"]

@@ -28,11 +28,31 @@ class WayDefault:
     modes: tuple[str, ...]
 
 
-# Usual defaults by kind of way, speeds in km/h.
-_ROADS = (("motorway", 2, 120, 2000, True), ("motorway_link", 1, 80, 1500, True), ("trunk", 1, 80, 2000, False), ("trunk_link", 1, 50, 1500, False), ("primary", 1, 80, 1500, False), ("primary_link", 1, 60, 1500, False), ("secondary", 1, 60, 1000, False), ("tertiary", 1, 50, 600, False), ("unclassified", 1, 50, 600, False), ("residential", 1, 30, 600, False), ("living_street", 1, 15, 300, False))
-DEFAULTS = tuple(WayDefault("highway", v, n, s / 3.6, 1.0, c, o, ("car",)) for v, n, s, c, o in _ROADS) + tuple(
-    WayDefault("railway", v, 1, 160 / 3.6 if v == "rail" else 40 / 3.6, 1.0, 9999, o, (m,)) for v, o, m in (("rail", False, "rail"), ("tram", True, "tram"), ("light_rail", False, "light_rail")))
-TRANSIT_ROUTES = ("bus", "trolleybus", "rail", "tram", "light_rail", "funicular", "monorail", "subway", "train", "ferry")
+# Fixed values, which results depend on: defaults by kind of way, speeds in km/h divided by 3.6.
+DEFAULTS = (
+    WayDefault("highway", "motorway", 2, 120 / 3.6, 1.0, 2000, True, ("car",)),
+    WayDefault("highway", "motorway_link", 1, 80 / 3.6, 1.0, 1500, True, ("car",)),
+    WayDefault("highway", "trunk", 2, 80 / 3.6, 1.0, 2000, False, ("car",)),
+    WayDefault("highway", "trunk_link", 1, 50 / 3.6, 1.0, 1500, False, ("car",)),
+    WayDefault("highway", "primary", 1, 80 / 3.6, 1.0, 1500, False, ("car",)),
+    WayDefault("highway", "primary_link", 1, 60 / 3.6, 1.0, 1500, False, ("car",)),
+    WayDefault("highway", "secondary", 1, 30 / 3.6, 1.0, 1000, False, ("car",)),
+    WayDefault("highway", "secondary_link", 1, 30 / 3.6, 1.0, 1000, False, ("car",)),
+    WayDefault("highway", "tertiary", 1, 25 / 3.6, 1.0, 600, False, ("car",)),
+    WayDefault("highway", "tertiary_link", 1, 25 / 3.6, 1.0, 600, False, ("car",)),
+    WayDefault("highway", "unclassified", 1, 25 / 3.6, 1.0, 600, False, ("car",)),
+    WayDefault("highway", "residential", 1, 15 / 3.6, 1.0, 600, False, ("car",)),
+    WayDefault("highway", "living_street", 1, 10 / 3.6, 1.0, 300, False, ("car",)),
+    WayDefault("railway", "rail", 1, 160 / 3.6, 1.0, 9999, False, ("rail",)),
+    WayDefault("railway", "tram", 1, 40 / 3.6, 1.0, 9999, True, ("rail",)),
+    WayDefault("railway", "light_rail", 1, 80 / 3.6, 1.0, 9999, False, ("rail",)),
+)
+# Relations that are transit, by their tags.
+TRANSIT_ROUTES = ("bus", "trolleybus", "rail", "train", "tram", "light_rail", "funicular", "monorail", "subway")
+TRANSIT_MASTERS = ("bus", "trolleybus", "tram", "monorail", "subway", "ferry")
+# Lanes, free speed, speed factor and capacity of a lane of other ways that transit uses; their mode.
+TRANSIT_WAY = (1.0, 50 / 3.6, 1.0, 9999.0)
+TRANSIT_MODE = "pt"
 
 
 @dataclass(frozen=True)
@@ -55,20 +75,26 @@ def way_parameters(x: Extract, options: Options) -> DataFrame:
     d = F.broadcast(d)
     at = lambda key, p: d.where(F.col("key") == key).select(F.col("value").alias(f"_{p}"), F.struct("d_lanes", "d_speed", "factor", "d_capacity", "d_oneway", "modes").alias(p))
     ways = x.ways.withColumn("_v1", F.col("tags")["highway"]).withColumn("_v2", F.col("tags")["railway"])
-    ways = ways.join(at("highway", "h"), F.col("_v1") == F.col("_h"), "left").join(at("railway", "r"), F.col("_v2") == F.col("_r"), "left")
-    transit = x.relations.where(F.col("tags")["route"].isin(*TRANSIT_ROUTES)).select(F.explode("members").alias("m"), F.col("tags")["route"].alias("mode"))
+    ways = ways.join(at("highway", "h"), F.col("_v1") == F.col("_h"), "left").join(at("railway", "r"), F.col("_v1").isNull() & (F.col("_v2") == F.col("_r")), "left")
+    master = F.coalesce(F.col("tags")["route_master"].isin(*TRANSIT_MASTERS), F.lit(False))
+    route = F.coalesce(F.col("tags")["route"].isin(*TRANSIT_ROUTES), F.lit(False))
+    transit = x.relations.where(master | route).select(F.explode("members").alias("m"), F.col("tags")["route"].alias("mode"))
     used = transit.where("m.type = 'way'").groupBy(F.col("m.ref").alias("way_id")).agg(F.array_sort(F.collect_set(T.network_mode("mode"))).alias("transit_modes"))
-    ways = ways.join(used, "way_id", "left").withColumn("transit_modes", F.coalesce("transit_modes", F.array().cast("array<string>")))
-    is_transit = (F.size("transit_modes") > 0) | _designated()
-    fallback = F.struct(F.lit(1.0).alias("d_lanes"), F.lit(50 / 3.6).alias("d_speed"), F.lit(1.0).alias("factor"), F.lit(600.0).alias("d_capacity"), F.lit(False).alias("d_oneway"), F.array().cast("array<string>").alias("modes"))
+    ways = ways.join(used, "way_id", "left").withColumn("is_transit", F.col("transit_modes").isNotNull() | _designated())
+    # Where a relation with a mode uses the way, it has this mode and that of all transit.
+    modes = F.when(F.size("transit_modes") > 0, F.array_union("transit_modes", F.array(F.lit(TRANSIT_MODE)))).otherwise(F.array().cast("array<string>"))
+    ways = ways.withColumn("transit_modes", modes)
+    is_transit = F.col("is_transit")
+    lanes, speed, factor, capacity = TRANSIT_WAY
+    fallback = F.struct(F.lit(lanes).alias("d_lanes"), F.lit(speed).alias("d_speed"), F.lit(factor).alias("factor"), F.lit(capacity).alias("d_capacity"), F.lit(False).alias("d_oneway"), F.array(F.lit(TRANSIT_MODE)).alias("modes"))
     known = F.coalesce("h", "r", F.when(is_transit & F.lit(options.keep_transit_ways), fallback))
     out = ways.withColumn("p", known).where("p IS NOT NULL").select("way_id", "nodes", "tags", "transit_modes", "p.*")
-    return out.withColumn("modes", F.array_union("modes", F.when(_designated(), F.array_union("transit_modes", F.array(F.lit("bus")))).otherwise(F.col("transit_modes"))))
+    return out.withColumn("modes", F.array_sort(F.array_union("modes", "transit_modes")))
 
 
 def _designated() -> F.Column:
-    """Whether a way is set aside for public service vehicles."""
-    return F.coalesce((F.col("tags")["psv"] == "designated") | (F.col("tags")["bus"] == "designated"), F.lit(False))
+    """Whether a way is set aside for public service vehicles, or open to them by its tags."""
+    return F.coalesce(F.col("tags")["psv"].isin("yes", "designated"), F.lit(False)) | F.coalesce(F.col("tags")["bus"] == "designated", F.lit(False))
 
 
 def thinned(ways: DataFrame, nodes: DataFrame, options: Options) -> DataFrame:

@@ -463,13 +463,14 @@ def stop_ids(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("parent", T.parent_stop("child")).withColumn("link", T.child_link("child"))
 
 
-@query("""SELECT p_partkey AS k, CASE WHEN c IN (0) THEN 'tram' WHEN c = 1 THEN 'subway' WHEN c = 2 THEN 'rail' WHEN c = 3 THEN 'bus' WHEN c = 4 THEN 'ferry' WHEN c = 5 THEN 'cable car' WHEN c = 6 THEN 'gondola' WHEN c = 7 THEN 'funicular'
-  WHEN c = 11 THEN 'trolleybus' WHEN c = 12 THEN 'monorail' WHEN c = 907 THEN 'other' WHEN c BETWEEN 100 AND 499 THEN 'rail' WHEN c BETWEEN 500 AND 699 THEN 'subway' WHEN c BETWEEN 700 AND 899 THEN 'bus' WHEN c BETWEEN 900 AND 999 THEN 'tram'
-  WHEN c BETWEEN 1000 AND 1099 OR c BETWEEN 1200 AND 1299 THEN 'ferry' WHEN c BETWEEN 1300 AND 1399 THEN 'gondola' WHEN c BETWEEN 1400 AND 1499 THEN 'funicular' ELSE 'other' END AS mode
-FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_size ELSE p_size * 37 END AS c FROM part)""")
+@query("""SELECT p_partkey AS k, c AS code, CASE WHEN c IN (0, 900, 901, 902, 903, 904, 905, 906) THEN 'tram' WHEN c IN (1, 401, 402, 500, 600) THEN 'subway'
+  WHEN c = 2 OR c BETWEEN 100 AND 117 OR c IN (200, 300, 400, 403, 404, 405, 1503) THEN 'rail' WHEN c IN (3, 800, 1501) OR c BETWEEN 201 AND 209 OR c BETWEEN 700 AND 716 THEN 'bus'
+  WHEN c IN (4, 1200, 1502) OR c BETWEEN 1000 AND 1021 THEN 'ferry' WHEN c = 5 OR c BETWEEN 1300 AND 1307 THEN 'cable car' WHEN c = 6 THEN 'gondola' WHEN c IN (7, 1400, 1401, 1402) THEN 'funicular' ELSE 'other' END AS mode
+FROM (SELECT p_partkey, (p_partkey % 1720)::INT AS c FROM part)""")
 def route_modes(spark: SparkSession, d: str) -> DataFrame:
-    code = F.when(F.col("p_partkey") % 2 == 0, F.col("p_size")).otherwise(F.col("p_size") * 37)
-    return V.table(spark, d, "part").select(F.col("p_partkey").alias("k"), route_mode(code.cast("string")).alias("mode"))
+    """Modes of all route types, and of numbers that are none."""
+    code = (F.col("p_partkey") % 1720).cast("int")
+    return V.table(spark, d, "part").select(F.col("p_partkey").alias("k"), code.alias("code"), route_mode(code.cast("string")).alias("mode"))
 
 
 @query("""SELECT p_partkey AS trip_id, unnest(list_transform(range(0, p_size % 5 + 1), lambda i: p_size * 600 + i * (p_size % 30 + 1) * 60 - 60))::BIGINT AS departure FROM part""")

@@ -18,10 +18,144 @@ from ..operators import calendar, timetable
 from .csvs import read_csv
 
 WEEKDAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
-#: Basic route types.
-ROUTE_TYPES = {0: "tram", 1: "subway", 2: "rail", 3: "bus", 4: "ferry", 5: "cable car", 6: "gondola", 7: "funicular", 11: "trolleybus", 12: "monorail"}
-#: Extended route types: the hundred decides, with these exceptions.
-EXTENDED = {1: "rail", 2: "rail", 3: "rail", 4: "rail", 5: "subway", 6: "subway", 7: "bus", 8: "bus", 9: "tram", 10: "ferry", 11: "other", 12: "ferry", 13: "gondola", 14: "funicular", 15: "other", 16: "other", 17: "other"}
+# Modes of the basic and extended route types.
+ROUTE_TYPES = {
+    0: "tram",
+    1: "subway",
+    2: "rail",
+    3: "bus",
+    4: "ferry",
+    5: "cable car",
+    6: "gondola",
+    7: "funicular",
+    100: "rail",
+    101: "rail",
+    102: "rail",
+    103: "rail",
+    104: "rail",
+    105: "rail",
+    106: "rail",
+    107: "rail",
+    108: "rail",
+    109: "rail",
+    110: "rail",
+    111: "rail",
+    112: "rail",
+    113: "rail",
+    114: "rail",
+    115: "rail",
+    116: "rail",
+    117: "rail",
+    200: "rail",
+    201: "bus",
+    202: "bus",
+    203: "bus",
+    204: "bus",
+    205: "bus",
+    206: "bus",
+    207: "bus",
+    208: "bus",
+    209: "bus",
+    300: "rail",
+    400: "rail",
+    401: "subway",
+    402: "subway",
+    403: "rail",
+    404: "rail",
+    405: "rail",
+    500: "subway",
+    600: "subway",
+    700: "bus",
+    701: "bus",
+    702: "bus",
+    703: "bus",
+    704: "bus",
+    705: "bus",
+    706: "bus",
+    707: "bus",
+    708: "bus",
+    709: "bus",
+    710: "bus",
+    711: "bus",
+    712: "bus",
+    713: "bus",
+    714: "bus",
+    715: "bus",
+    716: "bus",
+    800: "bus",
+    900: "tram",
+    901: "tram",
+    902: "tram",
+    903: "tram",
+    904: "tram",
+    905: "tram",
+    906: "tram",
+    1000: "ferry",
+    1001: "ferry",
+    1002: "ferry",
+    1003: "ferry",
+    1004: "ferry",
+    1005: "ferry",
+    1006: "ferry",
+    1007: "ferry",
+    1008: "ferry",
+    1009: "ferry",
+    1010: "ferry",
+    1011: "ferry",
+    1012: "ferry",
+    1013: "ferry",
+    1014: "ferry",
+    1015: "ferry",
+    1016: "ferry",
+    1017: "ferry",
+    1018: "ferry",
+    1019: "ferry",
+    1020: "ferry",
+    1021: "ferry",
+    1100: "other",
+    1101: "other",
+    1102: "other",
+    1103: "other",
+    1104: "other",
+    1105: "other",
+    1106: "other",
+    1107: "other",
+    1108: "other",
+    1109: "other",
+    1110: "other",
+    1111: "other",
+    1112: "other",
+    1113: "other",
+    1114: "other",
+    1200: "ferry",
+    1300: "cable car",
+    1301: "cable car",
+    1302: "cable car",
+    1303: "cable car",
+    1304: "cable car",
+    1305: "cable car",
+    1306: "cable car",
+    1307: "cable car",
+    1400: "funicular",
+    1401: "funicular",
+    1402: "funicular",
+    1500: "other",
+    1501: "bus",
+    1502: "ferry",
+    1503: "rail",
+    1504: "other",
+    1505: "other",
+    1506: "other",
+    1507: "other",
+    1600: "other",
+    1601: "other",
+    1602: "other",
+    1603: "other",
+    1604: "other",
+    1700: "other",
+    1701: "other",
+    9999: "other",
+}
 LOCATION_TYPES = (0, 1, 2, 3, 4)
 
 
@@ -41,15 +175,9 @@ class Feed:
 
 
 def route_mode(code) -> F.Column:
-    """Mode of a basic or extended route type; what no table knows is ``other``."""
-    n = code.try_cast("int")
-    out = F.lit("other")
-    for k, v in EXTENDED.items():
-        out = F.when((F.floor(n / 100) == k) & (n >= 100), F.lit(v)).otherwise(out)
-    out = F.when(n == 907, F.lit("other")).otherwise(out)
-    for k, v in ROUTE_TYPES.items():
-        out = F.when(n == k, F.lit(v)).otherwise(out)
-    return out
+    """Mode of a basic or extended route type; what is no route type is ``other``."""
+    modes = F.create_map(*[F.lit(x) for pair in ROUTE_TYPES.items() for x in pair])
+    return F.coalesce(F.try_element_at(modes, code.try_cast("int")), F.lit("other"))
 
 
 def _guard(df: DataFrame, bad: F.Column, what: str, *columns: str) -> DataFrame:
