@@ -155,3 +155,60 @@ def test_network_round_trip(spark, links, tmp_path):
     exports.write_xml(exports.network_xml(links.withColumn("capacity", F.lit(1.0)).withColumn("lanes", F.lit(1.0)), nodes).coalesce(1), str(tmp_path / "n"))
     assert networks.links(spark, str(tmp_path / "n/links")).count() == links.count() and networks.nodes(spark, str(tmp_path / "n/nodes")).count() == len(NODES)
     assert networks.links(spark, str(tmp_path / "n/links")).where("link_id = 'AB'").first()["modes"] == ["car", "bus"]
+
+
+def test_equal_paths_above_and_below_the_bound(spark, monkeypatch):
+    r = random.Random(7)
+    rows = [(f"{r.randint(0, 999)}-{i}", f"n{r.randint(0, 25)}", f"n{r.randint(0, 25)}", float(r.randint(0, 3))) for i in range(120)]
+    links = spark.createDataFrame(rows, "link_id string, from_node string, to_node string, cost double")
+    pairs = spark.createDataFrame([(a[0], b[0], float(r.randint(0, 6))) for a in rows[:25] for b in rows], "a string, b string, most double")
+    found = []
+    for limit in (paths.BROADCAST_LINKS, 1):
+        monkeypatch.setattr(paths, "BROADCAST_LINKS", limit)
+        found.append(sorted((x["a"], x["b"], x["cost"], x["path"]) for x in paths.paths(pairs, links).collect()))
+    assert found[0] == found[1] and len(found[0]) > 500
+    bound = {(x["a"], x["b"]): x["most"] for x in pairs.collect()}
+    assert all(c <= bound[a, b] for a, b, c, _ in found[0])
+
+
+def test_chains_longer_than_a_few_rounds_and_rings(spark):
+    r = random.Random(8)
+    line = r.sample(range(1000, 2000), 150)
+    rows = [(f"{x}", f"a{i}", f"a{i + 1}") for i, x in enumerate(line)] + [(f"{x}", f"r{i}", f"r{(i + 1) % 21}") for i, x in enumerate(r.sample(range(2000, 3000), 21))]
+    links = spark.createDataFrame(rows, "link_id string, from_node string, to_node string")
+    d = {x[0]: float(r.randint(1, 10**6)) for x in rows}
+    cand = spark.createDataFrame([("s", k, v) for k, v in d.items()], "stop_id string, link_id string, d double")
+    want = {min((x[0] for x in part), key=d.get) for part in (rows[:150], rows[150:])}
+    assert {x["link_id"] for x in network.chains(links, cand).collect()} == want
+
+
+def test_nearest_at_any_distance(spark, links):
+    stops = spark.createDataFrame([("near", 50.0, 42.0), ("far", 4e9, 42.0), ("none", None, 1.0)], "stop_id string, x double, y double")
+    assert {x["stop_id"] for x in candidates.nearest(stops, links).collect()} == {"near", "far"}
+    assert candidates.nearest(stops, links.limit(0)).count() == 0
+
+
+def test_nearby_against_all_pairs(spark):
+    r = random.Random(9)
+    rows = [(f"l{i}", *(float(r.randint(-200, 200)) for _ in range(4))) for i in range(60)] + [("up", 7.0, -90.0, 7.0, 90.0), ("flat", -90.0, 14.0, 90.0, 14.0), ("dot", 7.0, 7.0, 7.0, 7.0)]
+    stops = [(i, float(r.randint(-200, 200)), float(r.randint(-200, 200))) for i in range(300)]
+
+    def distance(s, x):
+        dx, dy = x[3] - x[1], x[4] - x[2]
+        n = dx * dx + dy * dy
+        t = min(1.0, max(0.0, ((s[1] - x[1]) * dx + (s[2] - x[2]) * dy) / n)) if n else 0.0
+        return ((s[1] - x[1] - t * dx) ** 2 + (s[2] - x[2] - t * dy) ** 2) ** 0.5
+
+    for radius in (1.0, 7.0, 90.0):
+        near = candidates.nearby(spark.createDataFrame(stops, "stop_id long, x double, y double"), spark.createDataFrame(rows, "link_id string, fx double, fy double, tx double, ty double"), radius)
+        found = sorted((x["stop_id"], x["link_id"]) for x in near.collect())
+        assert found == sorted((s[0], x[0]) for s in stops for x in rows if distance(s, x) <= radius)
+
+
+def test_mapper_by_time(spark, links):
+    stops = spark.createDataFrame([("s1", 30.0, 61.0), ("s2", 61.0, 30.0)], "stop_id string, x double, y double")
+    fast = links.withColumn("freespeed", F.lit(10.0))
+    for seconds, real in ((8, True), (1, False)):
+        routes = spark.createDataFrame([("A", "r", 0, "s1", 0, 0), ("A", "r", 1, "s2", seconds, seconds)], "line_id string, route_id string, idx int, stop_id string, arrival int, departure int")
+        out = mapping.map_routes(stops, routes, fast, mapping.Options(by_time=True, max_distance=15.0)).get("sequences").first()["link_ids"]
+        assert any(x.startswith("pt_") for x in out) != real

@@ -35,8 +35,9 @@ def map_routes(stops: DataFrame, route_stops: DataFrame, links: DataFrame, optio
     """Link sequences of all routes of one mode.
 
     ``stops``: stop_id, x, y; ``route_stops``: line_id, route_id, idx (0, 1, ...), stop_id; ``links``: link_id, from_node, to_node,
-    fx, fy, tx, ty, length, freespeed. Distinct pairs of candidates are searched once for all routes, only up to the largest cost
-    that can count. Stops without a candidate get a loop link; where no path is cheap enough, an artificial link is made.
+    fx, fy, tx, ty, length, freespeed. Distinct pairs of candidates are searched once for all routes, each only up to the largest
+    cost that can count for its stops. Stops without a candidate get a loop link; where no path is cheap enough, an artificial link
+    is made. With ``by_time`` all costs are seconds, and ``route_stops`` has the offsets arrival and departure in seconds, too.
     """
     near = candidates.soft_top(candidates.nearby(stops, links, options.max_distance), options.n_links, options.multiplier)
     loops = candidates.loop_links(stops.join(route_stops.select("stop_id"), "stop_id", "left_semi"), near)
@@ -49,20 +50,21 @@ def map_routes(stops: DataFrame, route_stops: DataFrame, links: DataFrame, optio
     options_of = stored(options_of, "candidates")
 
     w = W.partitionBy("line_id", "route_id").orderBy("idx")
-    steps = route_stops.withColumn("next_stop", F.lead("stop_id").over(w)).where("next_stop IS NOT NULL")
-    pairs = steps.select("stop_id", "next_stop").distinct()
+    seconds = F.lead("arrival").over(w) - F.col("departure") if options.by_time else F.lit(None)
+    steps = route_stops.withColumn("next_stop", F.lead("stop_id").over(w)).withColumn("seconds", seconds.cast("double")).where("next_stop IS NOT NULL")
     at = stops.select("stop_id", "x", "y")
-    beeline = pairs.join(at, "stop_id").join(at.toDF("next_stop", "nx", "ny"), "next_stop").select("stop_id", "next_stop", G.distance("x", "y", "nx", "ny").alias("beeline"))
+    steps = steps.join(at, "stop_id").join(at.toDF("next_stop", "nx", "ny"), "next_stop")
+    steps = steps.withColumn("least", G.least_travel_cost(G.distance("x", "y", "nx", "ny"), F.col("seconds"), options.by_time))
+    beeline = steps.groupBy("stop_id", "next_stop").agg(F.max("least").alias("most"))
     rename = lambda p: options_of.select(*[F.col(c).alias(f"{p}_{c}") for c in columns])
     both = beeline.join(rename("a"), F.col("stop_id") == F.col("a_stop_id")).join(rename("b"), F.col("next_stop") == F.col("b_stop_id"))
     both = both.select(
-        "stop_id", "next_stop", "beeline", F.col("a_link_id").alias("a"), F.col("b_link_id").alias("b"), F.col("a_own").alias("cost_a"), F.col("b_own").alias("cost_b"), (F.col("a_is_loop") | F.col("b_is_loop")).alias("is_loop"),
+        "stop_id", "next_stop", (F.col("most") * options.max_cost_factor).alias("most"), F.col("a_link_id").alias("a"), F.col("b_link_id").alias("b"), F.col("a_own").alias("cost_a"), F.col("b_own").alias("cost_b"), (F.col("a_is_loop") | F.col("b_is_loop")).alias("is_loop"),
         F.col("a_to_node").alias("a_to"), F.col("b_from_node").alias("b_from"), F.col("a_tx").alias("ax"), F.col("a_ty").alias("ay"), F.col("b_fx").alias("bx"), F.col("b_fy").alias("by"))
     both = stored(both, "candidate-pairs")
-    most = both.agg(F.max("beeline")).first()[0] or 0.0
     cost = G.travel_cost("length", "freespeed", options.by_time)
-    found = stored(paths.paths(both.where("NOT is_loop").select("a", "b"), info.select("link_id", "from_node", "to_node", cost.alias("cost")), most * options.max_cost_factor), "paths")
-    layers = steps.select("line_id", "route_id", F.col("idx").alias("layer"), "stop_id", "next_stop").join(both, ["stop_id", "next_stop"])
+    found = stored(paths.paths(both.where("NOT is_loop").select("a", "b", "most"), info.select("link_id", "from_node", "to_node", cost.alias("cost"))), "paths")
+    layers = steps.select("line_id", "route_id", F.col("idx").alias("layer"), "stop_id", "next_stop", "least").join(both, ["stop_id", "next_stop"])
     edges = stored(paths.candidate_edges(layers, found, options.max_cost_factor), "pseudo-edges")
     chosen = stored(paths.layered(edges.select("line_id", "route_id", "layer", "a", "b", "weight")), "chosen")
     used = chosen.withColumn("b", F.lead("candidate").over(W.partitionBy("line_id", "route_id").orderBy("layer"))).select("line_id", "route_id", "layer", F.col("candidate").alias("a"), "b")
@@ -103,13 +105,13 @@ def pulled(route_links: DataFrame, route_stops: DataFrame, links: DataFrame) ->
     return d.groupBy("line_id", "route_id", "idx").agg(best).select("line_id", "route_id", "idx", F.col("best.at").alias("link_idx"), F.col("best.link_id").alias("link_id"), (F.col("best.step") != 0).alias("moved"))
 
 
-def pull_all(route_links: DataFrame, route_stops: DataFrame, links: DataFrame, passes: int = 20) -> DataFrame:
-    """Pull stops until none moves any more, or for so many passes. Routes that visit a parent stop twice are left as they are."""
+def pull_all(route_links: DataFrame, route_stops: DataFrame, links: DataFrame) -> DataFrame:
+    """Pull stops until none moves any more, which ends as each move is strictly closer. Routes that visit a parent stop twice stay as they are."""
     parent = T.parent_stop("stop_id")
     twice = route_stops.groupBy("line_id", "route_id").agg((F.countDistinct(parent) < F.count("*")).alias("twice")).where("twice").select("line_id", "route_id")
     fixed = route_stops.join(twice, ["line_id", "route_id"], "left_semi")
     free = stored(route_stops.join(twice, ["line_id", "route_id"], "left_anti"), "pulled")
-    for _ in range(passes):
+    while True:
         step = stored(pulled(route_links, free, links), "pulled")
         if step.where("moved").limit(1).count() == 0:
             break

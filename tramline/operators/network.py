@@ -11,8 +11,6 @@ from ..functions import text as T
 from ..storage import stored
 from . import candidates
 
-MOST_ROUNDS = 10_000
-
 
 def opposites(links: DataFrame) -> DataFrame:
     """(link_id, opposite): the link back; the least id where there are several."""
@@ -105,19 +103,17 @@ def chains(links: DataFrame, candidates: DataFrame) -> DataFrame:
     out = c.groupBy("stop_id", F.col("from_node").alias("node")).agg(F.count("*").alias("n_out"))
     joint = into.join(out, ["stop_id", "node"]).where("n_in = 1 and n_out = 1").drop("n_in", "n_out")
     step = c.join(joint.withColumnRenamed("node", "from_node"), ["stop_id", "from_node"], "left")
-    state = step.select("stop_id", "link_id", F.coalesce("before", "link_id").alias("p"), F.least("link_id", F.coalesce("before", "link_id")).alias("least"))
+    ends = F.col("before").isNull().alias("ends")
+    state = step.select("stop_id", "link_id", F.coalesce("before", "link_id").alias("p"), F.least("link_id", F.coalesce("before", "link_id")).alias("least"), ends)
     state = stored(state, "chains")
-    for _ in range(64):
-        other = state.select("stop_id", F.col("link_id").alias("p"), F.col("p").alias("pp"), F.col("least").alias("l2"))
-        now = stored(state.join(other, ["stop_id", "p"]).select("stop_id", "link_id", F.col("pp").alias("p"), F.least("least", "l2").alias("least")), "chains")
-        change = now.exceptAll(state).limit(1).count()
-        state = now
-        if not change:
-            break
-        # After as many doublings as a ring can need, pointers in it keep turning while its least link is known.
-        if _ > 2 and not now.select("stop_id", "link_id", "least").exceptAll(other.select("stop_id", F.col("p").alias("link_id"), F.col("l2").alias("least"))).limit(1).count():
-            break
-    chain = F.least("least", "p")
+    # Each round doubles how far back a pointer reaches, so that as many as the longest chain's logarithm are enough.
+    most = c.groupBy("stop_id").count().agg(F.max("count")).first()[0] or 1
+    for _ in range(int(most).bit_length()):
+        other = state.select("stop_id", F.col("link_id").alias("p"), F.col("p").alias("pp"), F.col("least").alias("l2"), F.col("ends").alias("e2"))
+        jumped = state.join(other, ["stop_id", "p"])
+        state = stored(jumped.select("stop_id", "link_id", F.col("pp").alias("p"), F.least("least", "l2").alias("least"), F.col("e2").alias("ends")), "chains")
+    # A chain is known by its first link; a ring, in which pointers never end, by its least one.
+    chain = F.when(F.col("ends"), F.col("p")).otherwise(F.col("least"))
     w = W.partitionBy("stop_id", "chain").orderBy("d", "link_id")
     return candidates.join(state.select("stop_id", "link_id", chain.alias("chain")), ["stop_id", "link_id"]).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "chain")
 
@@ -131,9 +127,7 @@ def strong_components(links: DataFrame) -> DataFrame:
     edges = stored(links.select(F.col("from_node").alias("a"), F.col("to_node").alias("b")).where("a <> b").distinct(), "scc-edges")
     left = stored(links.select(F.col("from_node").alias("v")).union(links.select("to_node")).distinct(), "scc-nodes")
     done = None
-    for _ in range(MOST_ROUNDS):
-        if left.limit(1).count() == 0:
-            break
+    while left.limit(1).count():
         color = _spread(left.select("v", F.col("v").alias("c")), edges)
         same = edges.join(color.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a").join(color.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b").where("ca = cb")
         back = stored(same.select(F.col("b").alias("a"), F.col("a").alias("b")), "scc-back")

@@ -174,10 +174,10 @@ def vehicles(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(_with(V.TRIPS, _DEPARTURES) + """SELECT n_nationkey::BIGINT AS line_id, n_name AS name, count(DISTINCT route_id) AS numTransitRoutes, count(departure_id) AS totalDepartures
-FROM nation LEFT JOIN (SELECT * FROM departures WHERE line_id % 5 <> 0) ON line_id = n_nationkey GROUP BY 1, 2""")
+FROM nation LEFT JOIN departures ON line_id = n_nationkey GROUP BY 1, 2""")
 def line_info(spark: SparkSession, d: str) -> DataFrame:
     lines = V.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("line_id"), F.col("n_name").alias("name"))
-    dep = _departures(spark, d).where("line_id % 5 <> 0")
+    dep = _departures(spark, d)
     return timetable.line_info(lines, dep, dep)
 
 
@@ -204,8 +204,8 @@ def rank_paired(spark: SparkSession, d: str) -> DataFrame:
     return timetable.paired(e.where("event_type = 'view'"), e.where("event_type = 'click'"), ["user_id"])
 
 
-@query(_with(V.TRIPS, _DEPARTURES) + """,a AS (SELECT line_id, route_id, line_id % 2 AS profile, departure_id, time FROM departures WHERE time % 7 < 4),
-b AS (SELECT line_id, route_id, CASE WHEN line_id % 5 = 0 THEN 9 ELSE line_id % 2 END AS profile, departure_id, time FROM departures WHERE time % 7 >= 3),
+@query(_with(V.TRIPS, _DEPARTURES) + """,a AS (SELECT line_id, route_id, line_id % 2 AS profile, departure_id, time FROM departures WHERE time < 50000),
+b AS (SELECT line_id, route_id, CASE WHEN line_id % 5 = 0 THEN 9 ELSE line_id % 2 END AS profile, departure_id, time FROM departures WHERE time >= 36000),
 k AS (SELECT DISTINCT line_id, route_id, profile AS p FROM a)
 SELECT line_id, route_id, profile, departure_id, time FROM a
 UNION ALL SELECT line_id, route_id, profile, departure_id || '+24h', time + 86400 FROM b JOIN k USING (line_id, route_id) WHERE profile = p AND time + 86400 < 130000
@@ -213,8 +213,8 @@ UNION ALL SELECT DISTINCT line_id, route_id || '_merged', profile, NULL, NULL FR
 UNION ALL SELECT line_id, route_id, profile, departure_id, time FROM b ANTI JOIN k USING (line_id, route_id)""")
 def merged_schedules(spark: SparkSession, d: str) -> DataFrame:
     dep = _departures(spark, d).drop("mode")
-    a = dep.where("time % 7 < 4").withColumn("profile", F.col("line_id") % 2)
-    b = dep.where("time % 7 >= 3").withColumn("profile", F.when(F.col("line_id") % 5 == 0, F.lit(9)).otherwise(F.col("line_id") % 2))
+    a = dep.where("time < 50000").withColumn("profile", F.col("line_id") % 2)
+    b = dep.where("time >= 36000").withColumn("profile", F.when(F.col("line_id") % 5 == 0, F.lit(9)).otherwise(F.col("line_id") % 2))
     return timetable.merged_schedules(a, b, 24, 130000)
 
 
@@ -244,16 +244,22 @@ def link_opposites(spark: SparkSession, d: str) -> DataFrame:
     return network.opposites(V.links(spark, d))
 
 
-_NEAR = """bounded AS (SELECT * FROM links WHERE length < 150),
-near AS (
-  SELECT * FROM (SELECT stop_id, link_id, fx, fy, tx, ty, x, y,
+def _distances(stops: str, links: str, name: str) -> str:
+    """SQL of the distances of all stops from all links."""
+    return f"""{name} AS (
+  SELECT stop_id, link_id, fx, fy, tx, ty, x, y,
     sqrt(pow(x - (fx + t * (tx - fx)), 2) + pow(y - (fy + t * (ty - fy)), 2)) AS d, (tx - fx) * (y - fy) - (ty - fy) * (x - fx) <= 0 AS is_right
   FROM (SELECT *, CASE WHEN n = 0 THEN 0.0 ELSE least(1.0, greatest(0.0, ((x - fx) * (tx - fx) + (y - fy) * (ty - fy)) / n)) END AS t
-    FROM (SELECT *, (tx - fx) * (tx - fx) + (ty - fy) * (ty - fy) AS n FROM stops, bounded))) WHERE d <= 90)"""
+    FROM (SELECT *, (tx - fx) * (tx - fx) + (ty - fy) * (ty - fy) AS n FROM {stops}, {links})))"""
+
+
+_NEAR = _distances("stops", "links", "measured") + ",\nnear AS (SELECT * FROM measured WHERE d <= 9)"
+_SPARSE = (V.STOPS, V.PLACES, V.SPARSE_LINKS, _distances("places", "sparse", "measured"))
 
 
 def _near(spark, d) -> DataFrame:
-    return candidates.nearby(V.stops(spark, d), V.links(spark, d).where("length < 150"), 90.0)
+    """A unit of the coordinates stands for 10 m, so the default of 90 m is a radius of 9."""
+    return candidates.nearby(V.stops(spark, d), V.links(spark, d), 9.0)
 
 
 @query(_with(*_NET, _NEAR) + "SELECT stop_id, link_id, round(d, 6) AS d, is_right FROM near")
@@ -281,59 +287,47 @@ def link_candidates(spark: SparkSession, d: str) -> DataFrame:
     return out.select("stop_id", "link_id", "d", F.round("priority", 6).alias("priority"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(_with(*_NET, """all_pairs AS (
-  SELECT stop_id, link_id, sqrt(pow(x - (fx + t * (tx - fx)), 2) + pow(y - (fy + t * (ty - fy)), 2)) AS d, (tx - fx) * (y - fy) - (ty - fy) * (x - fx) <= 0 AS is_right
-  FROM (SELECT *, CASE WHEN n = 0 THEN 0.0 ELSE least(1.0, greatest(0.0, ((x - fx) * (tx - fx) + (y - fy) * (ty - fy)) / n)) END AS t
-    FROM (SELECT *, (tx - fx) * (tx - fx) + (ty - fy) * (ty - fy) AS n FROM stops, (SELECT * FROM links WHERE uses > 1 AND link_id LIKE '%7%'))))""")
-    + "SELECT stop_id, round(min(d), 6) AS d FROM all_pairs GROUP BY 1")
+@query(_with(*_SPARSE) + "SELECT stop_id, round(min(d), 6) AS d FROM measured GROUP BY 1")
 def nearest_link(spark: SparkSession, d: str) -> DataFrame:
-    """The distance of each stop's nearest link, the radius doubling until all have one."""
-    links = V.links(spark, d).where("uses > 1 AND link_id LIKE '%7%'")
-    return candidates.nearest(V.stops(spark, d), links).select("stop_id", F.round("d", 6).alias("d"))
+    """The distance of each place's nearest link, the radius doubling until all have one."""
+    return candidates.nearest(V.places(spark, d), V.sparse_links(spark, d), 9.0).select("stop_id", F.round("d", 6).alias("d"))
 
 
-@query(_with(*_NET, _NEAR) + "SELECT stop_id, concat('pt_', stop_id) AS link_id, x AS fx, y AS fy FROM stops WHERE stop_id NOT IN (SELECT stop_id FROM near WHERE d < 20 AND link_id LIKE '7%')")
+@query(_with(*_SPARSE) + "SELECT stop_id, concat('pt_', stop_id) AS link_id, x AS fx, y AS fy FROM places WHERE stop_id NOT IN (SELECT stop_id FROM measured WHERE d <= 9)")
 def loop_links(spark: SparkSession, d: str) -> DataFrame:
-    return candidates.loop_links(V.stops(spark, d), _near(spark, d).where("d < 20 AND link_id LIKE '7%'")).select("stop_id", "link_id", "fx", "fy")
-
-
-@query(_with(*_NET) + """SELECT link_id, CASE WHEN uses % 2 = 0 AND uses % 3 = 0 THEN 'bus,rail' WHEN uses % 2 = 0 THEN 'bus' ELSE 'rail' END AS modes FROM links WHERE uses % 2 = 0 OR uses % 3 = 0""")
-def merged_networks(spark: SparkSession, d: str) -> DataFrame:
-    links = V.links(spark, d).select("link_id", "from_node", "to_node", "uses")
-    a = links.where("uses % 2 = 0").withColumn("modes", F.array(F.lit("bus")))
-    b = links.where("uses % 3 = 0").withColumn("modes", F.array(F.lit("rail")))
-    return network.merged(a, b).select("link_id", F.array_join(F.array_sort("modes"), ",").alias("modes"))
-
-
-_SMALL = """small AS (SELECT from_node AS a, to_node AS b FROM links WHERE from_node <= 60 AND to_node <= 60 AND uses >= 1)"""
+    """Links of their own for the places that no link is near."""
+    places = V.places(spark, d)
+    return candidates.loop_links(places, candidates.nearby(places, V.sparse_links(spark, d), 9.0)).select("stop_id", "link_id", "fx", "fy")
 
 
-@query("WITH RECURSIVE " + ",\n".join([*_NET, _SMALL]) + """,
-reach(a, b) AS (SELECT a, b FROM small UNION SELECT r.a, s.b FROM reach r JOIN small s ON r.b = s.a),
-nodes AS (SELECT a AS v FROM small UNION SELECT b FROM small)
-SELECT v AS node_id, least(v, coalesce((SELECT min(r.b) FROM reach r JOIN reach q ON q.a = r.b AND q.b = r.a WHERE r.a = v), v)) AS component FROM nodes""")
+@query("WITH RECURSIVE " + ",\n".join([*_NET]) + """,
+edges AS (SELECT from_node AS a, to_node AS b FROM links),
+reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, s.b FROM reach r JOIN edges s ON r.b = s.a),
+nodes AS (SELECT a AS v FROM edges UNION SELECT b FROM edges),
+both_ways AS (SELECT r.a AS v, min(r.b) AS c FROM reach r JOIN reach q ON q.a = r.b AND q.b = r.a GROUP BY 1)
+SELECT v AS node_id, least(v, coalesce(c, v)) AS component FROM nodes LEFT JOIN both_ways USING (v)""")
 def strong_components(spark: SparkSession, d: str) -> DataFrame:
-    """Strongly connected components of the network among 60 stops, named by their least stop."""
-    links = V.links(spark, d).where("from_node <= 60 AND to_node <= 60 AND uses >= 1")
-    comp = network.strong_components(links)
+    """Strongly connected components of the network, named by their least stop."""
+    comp = network.strong_components(V.links(spark, d))
     w = W.partitionBy("component")
     return comp.select("node_id", F.min("node_id").over(w).alias("component"))
 
 
 @query("WITH RECURSIVE " + ",\n".join([*_NET]) + """,
-near AS (SELECT from_node AS a, to_node AS b, round(length)::BIGINT AS c FROM links WHERE from_node <= 25 AND to_node <= 25),
-walk(src, node, cost, hops) AS (SELECT DISTINCT a, a, 0::BIGINT, 0 FROM near UNION SELECT src, b, cost + c, hops + 1 FROM walk JOIN near ON node = a WHERE cost + c <= 900 AND hops < 8)
-SELECT src AS a, node AS b, min(cost)::DOUBLE AS cost FROM walk WHERE src <> node GROUP BY 1, 2""")
+skipped AS (SELECT DISTINCT a, b FROM (SELECT stop_id AS a, lead(stop_id, 2) OVER (PARTITION BY trip_id ORDER BY seq) AS b FROM stop_times) WHERE b IS NOT NULL AND a <> b),
+steps AS (SELECT from_node AS a, to_node AS b, round(length)::BIGINT AS c FROM links WHERE length < 201),
+walk(src, node, cost) AS (SELECT DISTINCT a, a, 0::BIGINT FROM skipped UNION SELECT src, b, cost + c FROM walk JOIN steps ON node = a WHERE cost + c <= 200)
+SELECT a, b, min(cost)::DOUBLE AS cost FROM skipped JOIN walk ON src = a AND node = b GROUP BY 1, 2""")
 def least_cost(spark: SparkSession, d: str) -> DataFrame:
-    """Least costs up to 900 between stops of a small network, by searches from each stop."""
-    net = V.links(spark, d).where("from_node <= 25 AND to_node <= 25").select("link_id", "from_node", "to_node", F.round("length").alias("cost"))
-    nodes = net.select(F.col("from_node").alias("n")).union(net.select("to_node")).distinct()
-    # A zero link at every node stands for the node itself.
+    """Least costs up to 200 between each stop and the next but one of the trips, over the whole network."""
+    net = V.links(spark, d).select("link_id", "from_node", "to_node", F.round("length").alias("cost"))
+    w = W.partitionBy("trip_id").orderBy("seq")
+    skipped = V.stop_times(spark, d).select(F.col("stop_id").alias("a"), F.lead("stop_id", 2).over(w).alias("b")).where("b IS NOT NULL AND a <> b").distinct()
+    # A link of no cost at every stop stands for the stop itself.
+    nodes = skipped.select(F.col("a").alias("n")).union(skipped.select("b")).distinct()
     ends = nodes.select(F.concat(F.lit("n"), "n").alias("link_id"), F.col("n").alias("from_node"), F.col("n").alias("to_node"), F.lit(0.0).alias("cost"))
-    pairs = nodes.select(F.concat(F.lit("n"), "n").alias("a")).join(nodes.select(F.concat(F.lit("n"), "n").alias("b")), F.col("a") != F.col("b"))
-    found = paths.paths(pairs, net.unionByName(ends), 900.0)
-    out = found.select(F.substring("a", 2, 20).cast("long").alias("a"), F.substring("b", 2, 20).cast("long").alias("b"), "cost")
-    return out
+    found = paths.paths(skipped.select(F.concat(F.lit("n"), "a").alias("a"), F.concat(F.lit("n"), "b").alias("b")), net.unionByName(ends), 200.0)
+    return found.select(F.substring("a", 2, 20).cast("long").alias("a"), F.substring("b", 2, 20).cast("long").alias("b"), "cost")
 
 
 # Checks ------------------------------------------------------------------------------------------------------------
@@ -354,6 +348,16 @@ def _route_links(spark, d) -> DataFrame:
 _AZ = "CASE WHEN atan2({0}, {1}) < 0 THEN atan2({0}, {1}) + 2 * pi() ELSE atan2({0}, {1}) END"
 
 
+@query(_with(V.STOPS, V.STOP_TIMES, V.TRIPS, V.LINKS, _ROUTE_LINKS) + """SELECT link_id, CASE WHEN bool_or(mode = 'BUILDING') AND bool_or(mode = 'MACHINERY') THEN 'bus,rail' WHEN bool_or(mode = 'BUILDING') THEN 'bus' ELSE 'rail' END AS modes
+FROM route_links WHERE mode IN ('BUILDING', 'MACHINERY') GROUP BY 1""")
+def merged_networks(spark: SparkSession, d: str) -> DataFrame:
+    """The networks of two modes' trips as one."""
+    rl, columns = _route_links(spark, d), ("link_id", "from_node", "to_node", "uses")
+    a = rl.where("mode = 'BUILDING'").select(*columns).distinct().withColumn("modes", F.array(F.lit("bus")))
+    b = rl.where("mode = 'MACHINERY'").select(*columns).distinct().withColumn("modes", F.array(F.lit("rail")))
+    return network.merged(a, b).select("link_id", F.array_join(F.array_sort("modes"), ",").alias("modes"))
+
+
 @query(_with(V.STOPS, V.STOP_TIMES, V.TRIPS, V.LINKS, _ROUTE_LINKS) + f""",pair AS (
   SELECT line_id, route_id, link_id AS first, from_node, {_AZ.format('tx - fx', 'ty - fy')} AS az, lead(link_id) OVER w AS second, lead(to_node) OVER w AS n2, lead({_AZ.format('tx - fx', 'ty - fy')}) OVER w AS az2
   FROM route_links WHERE mode = 'BUILDING' WINDOW w AS (PARTITION BY line_id, route_id ORDER BY idx)),
@@ -390,11 +394,11 @@ def quantile_of_quantiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(_with(V.STOPS, V.STOP_TIMES, V.TRIPS, V.LINKS, _ROUTE_LINKS) + """,run AS (
-  SELECT *, sum(sqrt(pow(tx - fx, 2) + pow(ty - fy, 2))) OVER (PARTITION BY line_id, route_id ORDER BY idx) AS e FROM route_links WHERE line_id = 3)
+  SELECT *, sum(sqrt(pow(tx - fx, 2) + pow(ty - fy, 2))) OVER (PARTITION BY line_id, route_id ORDER BY idx) AS e FROM route_links)
 SELECT line_id, route_id, ceil(max(e) / 50)::BIGINT AS n FROM run GROUP BY 1, 2""")
 def resampled_routes(spark: SparkSession, d: str) -> DataFrame:
     """Points every 50 m along routes, the remainder carried over; counted by route."""
-    return checks.resampled(_route_links(spark, d).where("line_id = 3"), 50.0).groupBy("line_id", "route_id").agg(F.count("*").alias("n"))
+    return checks.resampled(_route_links(spark, d), 50.0).groupBy("line_id", "route_id").agg(F.count("*").alias("n"))
 
 
 @query(_with(*_NET) + "SELECT link_id, round(uses / max(uses) OVER (), 6) AS uses FROM links")
@@ -486,9 +490,13 @@ def hex_bits(spark: SparkSession, d: str) -> DataFrame:
     return out.select("k", "hex", F.regexp_replace(bits, "^0+", "").alias("short"), F.length(bits).cast("long").alias("n"))
 
 
-@query(_with(V.STOPS, V.STOP_TIMES) + "SELECT stop_id FROM stops WHERE stop_id NOT IN (SELECT stop_id FROM stop_times WHERE trip_id < 30)")
+@query(_with(V.STOPS, V.STOP_TIMES, V.TRIPS) + """SELECT stop_id FROM stops WHERE stop_id NOT IN (
+  SELECT stop_id FROM stop_times JOIN trips USING (trip_id) WHERE service_date = (SELECT max(service_date) FROM trips))""")
 def unused_stops(spark: SparkSession, d: str) -> DataFrame:
-    return timetable.unused_stops(V.stops(spark, d), V.stop_times(spark, d).where("trip_id < 30")).select("stop_id")
+    """Stops that no trip of the last day serves."""
+    trips = V.trips(spark, d)
+    last = trips.join(F.broadcast(trips.agg(F.max("service_date").alias("service_date"))), "service_date", "left_semi")
+    return timetable.unused_stops(V.stops(spark, d), V.stop_times(spark, d).join(last.select("trip_id"), "trip_id", "left_semi")).select("stop_id")
 
 
 @query(_with(V.STOPS, V.STOP_TIMES, V.TRIPS, V.LINKS, _ROUTE_LINKS) + """,st AS (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY seq) AS i FROM stop_times),
@@ -511,13 +519,15 @@ def slow_sections(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("section", F.col("section").cast("long")).withColumn("expected", F.col("expected").cast("long")).withColumn("actual", F.round("actual", 6))
 
 
-@query(_with(*_NET) + """SELECT DISTINCT concat('pt_', a.link_id, '_', b.link_id) AS link_id, a.to_node AS from_node, b.from_node AS to_node, round(greatest(1.0, sqrt(pow(b.fx - a.tx, 2) + pow(b.fy - a.ty, 2))), 6) AS length
-FROM links a JOIN links b ON a.from_node + 1 = b.from_node WHERE a.uses > 2 AND b.uses > 2 AND a.from_node < 200""")
+@query(_with(V.STOPS, V.STOP_TIMES, V.TRIPS, V.LINKS, _ROUTE_LINKS) + """SELECT DISTINCT concat('pt_', a.link_id, '_', b.link_id) AS link_id, a.to_node AS from_node, b.from_node AS to_node,
+  round(greatest(1.0, sqrt(pow(b.fx - a.tx, 2) + pow(b.fy - a.ty, 2))), 6) AS length
+FROM route_links a JOIN route_links b ON a.line_id = b.line_id AND a.route_id = b.route_id AND a.idx + 2 = b.idx""")
 def artificial_links(spark: SparkSession, d: str) -> DataFrame:
-    few = V.links(spark, d).where("uses > 2")
-    a = few.where("from_node < 200").select(F.col("link_id").alias("a"), F.col("from_node").alias("k"), F.col("to_node").alias("a_to"), F.col("tx").alias("ax"), F.col("ty").alias("ay"))
-    b = few.select(F.col("link_id").alias("b"), (F.col("from_node") - 1).alias("k"), F.col("from_node").alias("b_from"), F.col("fx").alias("bx"), F.col("fy").alias("by"))
-    return candidates.artificial_links(a.join(b, "k")).select("link_id", "from_node", "to_node", F.round("length", 6).alias("length"))
+    """Links from each link of a route to the next but one."""
+    rl = _route_links(spark, d)
+    a = rl.select("line_id", "route_id", (F.col("idx") + 2).alias("idx"), F.col("link_id").alias("a"), F.col("to_node").alias("a_to"), F.col("tx").alias("ax"), F.col("ty").alias("ay"))
+    b = rl.select("line_id", "route_id", "idx", F.col("link_id").alias("b"), F.col("from_node").alias("b_from"), F.col("fx").alias("bx"), F.col("fy").alias("by"))
+    return candidates.artificial_links(a.join(b, ["line_id", "route_id", "idx"])).select("link_id", "from_node", "to_node", F.round("length", 6).alias("length"))
 
 
 @query(_with(*_NET) + "SELECT link_id, round(length / (10 + uses), 6) AS seconds, round(CASE WHEN length / 100 + 0.1 > 1 THEN 3 ELSE length / 100 + 0.1 END * length, 6) AS shaped FROM links")

@@ -73,6 +73,28 @@ links AS (
   FROM pairs JOIN stops a ON a.stop_id = from_node JOIN stops b ON b.stop_id = to_node)"""
 
 
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as stops that no network was made for."""
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(k.alias("stop_id"), ((k * 6007) % 1000).cast("double").alias("x"), ((k * 3571) % 1000).cast("double").alias("y"))
+
+
+PLACES = """places AS (SELECT c_custkey AS stop_id, ((c_custkey * 6007) % 1000)::DOUBLE AS x, ((c_custkey * 3571) % 1000)::DOUBLE AS y FROM customer)"""
+
+
+def sparse_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One link from each stop to the next one of its parent: as many links as stops, less the parents."""
+    w = W.partitionBy("parent").orderBy("stop_id")
+    s = stops(spark, sf_dir)
+    s = s.withColumn("to_node", F.lead("stop_id").over(w)).withColumn("tx", F.lead("x").over(w)).withColumn("ty", F.lead("y").over(w)).where("to_node IS NOT NULL")
+    return s.select(F.concat_ws("_", "stop_id", "to_node").alias("link_id"), F.col("stop_id").alias("from_node"), "to_node", F.col("x").alias("fx"), F.col("y").alias("fy"), "tx", "ty")
+
+
+SPARSE_LINKS = """sparse AS (
+  SELECT concat_ws('_', stop_id, to_node) AS link_id, stop_id AS from_node, to_node, x AS fx, y AS fy, tx, ty
+  FROM (SELECT *, lead(stop_id) OVER w AS to_node, lead(x) OVER w AS tx, lead(y) OVER w AS ty FROM stops WINDOW w AS (PARTITION BY parent ORDER BY stop_id)) WHERE to_node IS NOT NULL)"""
+
+
 def services(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A service for each part: weekday flags from its size, a span of days, one addition and one exception."""
     p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
