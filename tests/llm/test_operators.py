@@ -1,6 +1,7 @@
 """Operators against plain versions on small tables."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -452,6 +453,108 @@ def test_classifier(spark, docs):
     assert held and np.mean([r["predicted"] == (r["doc_id"] % 3 > 0) for r in held]) > 0.95
 
 
+def _plain_bags(m, bags):
+    """Probabilities of label 1, by loops over passages, words and numbers."""
+    out, first = [], 0
+    for a, b in zip(bags.offsets[:-1], bags.offsets[1:], strict=True):
+        hs, scores = [], []
+        for p in range(a, b):
+            words = bags.buckets[first : first + bags.words[p]]
+            first += bags.words[p]
+            mean = [sum(m["E"][t][k] for t in words) / max(len(words), 1) for k in range(quality_classifier.EMBEDDING)]
+            x = [(v - u) / s for v, u, s in zip(bags.x[p], m["mean"], m["std"], strict=True)] + mean
+            h = [math.tanh(sum(x[i] * m["W"][i][j] for i in range(len(x))) + m["b"][j]) for j in range(quality_classifier.HIDDEN)]
+            score = 0.0
+            for g in range(quality_classifier.GATE):
+                t = math.tanh(sum(h[j] * m["V"][j][g] for j in range(len(h))) + m["v"][g])
+                s = 1 / (1 + math.exp(-sum(h[j] * m["U"][j][g] for j in range(len(h))) - m["u"][g]))
+                score += t * s * m["w"][g]
+            hs.append(h)
+            scores.append(math.exp(score))
+        z = [sum(w * h[j] for w, h in zip(scores, hs, strict=True)) / sum(scores) for j in range(quality_classifier.HIDDEN)]
+        out.append(1 / (1 + math.exp(-sum(u * v for u, v in zip(z, m["c"], strict=True)) - float(m["d"]))))
+    return out
+
+
+def test_classifier_against_loops_and_differences():
+    q, rng = quality_classifier, np.random.default_rng(3)
+    texts = [" ".join(prose(i, n)) for i, n in enumerate((5, 150, 64, 0, 129))]
+    bags = q.passages(block(pa.array(texts)))
+    assert list(bags.words) == [5, 64, 64, 22, 64, 0, 64, 64, 1]
+    m = q.fit([q.Bags(bags.x, bags.words, bags.buckets, np.array([0, len(bags.words)]))], np.ones(1))
+    m |= {k: rng.normal(0, 0.4, np.shape(m[k])) for k in ("E", "W", "b", "V", "v", "U", "u", "w", "c")}
+    y = np.array([1.0, 0, 1, 0, 0])
+
+    def loss(m):
+        p = np.array(_plain_bags(m, bags))
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+
+    assert q.probabilities(m, pa.array(texts)) == pytest.approx(_plain_bags(m, bags))
+    g = q._gradient(m, bags, y)
+    used = int(bags.buckets[0])
+    for k in g:
+        for at in {"E": [(used, 0), (used, 5)], "W": [(0, 1), (-1, 2)], "d": [()]}.get(k, [(0,) * np.ndim(m[k]), (-1,) * np.ndim(m[k])]):
+            more, less = ({**m, k: np.array(m[k], float)} for _ in range(2))
+            more[k][at] += 1e-5
+            less[k][at] -= 1e-5
+            assert np.asarray(g[k])[at] == pytest.approx((loss(more) - loss(less)) / 2e-5, rel=1e-4, abs=1e-8)
+
+
+def test_classifier_reads_words(spark, docs):
+    """Labels that only the words tell: the same text with its letters exchanged one for one is of the other label."""
+    swap = str.maketrans("bdklmnaeio", "dblknmeaoi")
+    vocabulary = prose(1, 60)
+    texts = {}
+    for i in range(300):
+        text = " ".join(random.Random(i // 2).choices(vocabulary, k=90))
+        texts[i] = text.translate(swap) if i % 2 else text
+    table = spark.createDataFrame([(i, 1 - i % 2) for i in texts], "doc_id long, quality int")
+    model = quality_classifier.learn(docs(texts), table.where("crc32(cast(doc_id as string)) % 4 <> 2"))
+    held = [r for r in quality_classifier.score(docs(texts), model).collect() if r["held_out"]]
+    assert np.mean([(r["score"] > 0.5) == (r["doc_id"] % 2 == 0) for r in held]) > 0.95
+
+
+def _plain_profiles(texts, langs, size):
+    """Rank-order identification over strings: profiles of the languages, then (language, share of the largest distance)."""
+
+    def grams(text):
+        runs = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        return Counter(g for w in runs for p in [f"\x01{w}\x01"] for n in (1, 2, 3) for i in range(len(p) - n + 1) for g in [p[i : i + n]] if g != "\x01")
+
+    # Equal counts go by the characters, those of shorter n-grams last.
+    top = lambda count: sorted(count, key=lambda g: (-count[g], g.rjust(3, "\0")))[:size]
+    total = {}
+    for i, t in texts.items():
+        if langs[i] is not None and t is not None and zlib.crc32(str(i).encode()) % 5:
+            total.setdefault(langs[i], Counter()).update(grams(t))
+    ranks = {k: {g: j for j, g in enumerate(top(c))} for k, c in sorted(total.items())}
+    out = {}
+    for i, t in texts.items():
+        own = top(grams(t or ""))
+        far = {k: sum(abs(r[g] - j) if g in r else size for j, g in enumerate(own)) / max(len(own), 1) / size for k, r in ranks.items()}
+        best = min(far, key=far.get)
+        out[i] = (best, 1 / sum(math.exp(-language_id.SHARPNESS * (d - far[best])) for d in far.values())) if own else ("und", 0.0)
+    return out
+
+
+def test_language_against_a_plain_version(docs):
+    r = random.Random(12)
+    letters = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "aäöüßñ", "dd": "абвгдежз"}
+    texts, langs = {}, {}
+    for i in range(160):
+        lang = r.choice(list(letters))
+        texts[i] = " ".join("".join(r.choice(letters[lang]) for _ in range(r.randint(1, 5))) + r.choice(["", ",", "1", "-X", "_É"]) for _ in range(r.choice((1, 3, 60, 300))))
+        langs[i] = None if i % 11 == 0 else lang
+    texts |= {200: None, 201: "", 202: "12 34 !", 203: "a"}
+    langs |= dict.fromkeys((200, 201, 202, 203))
+    d = docs([(i, t) for i, t in texts.items()]).drop("lang").join(docs({}).sparkSession.createDataFrame(list(langs.items()), "doc_id long, lang string"), "doc_id")
+    train = d.where("crc32(cast(doc_id as string)) % 5 <> 0")
+    out = {x["doc_id"]: (x["lang_pred"], x["score"]) for x in language_id.identify(d, language_id.learn(train)).collect()}
+    want = _plain_profiles(texts, langs, language_id.PROFILE)
+    assert {k: v[0] for k, v in out.items()} == {k: v[0] for k, v in want.items()}
+    assert all(out[k][1] == pytest.approx(want[k][1]) for k in want)
+
+
 def test_pitman_yor(spark, docs):
     vocabulary = sorted(set(prose(1, 6000)))
     r = random.Random(6)

@@ -1,13 +1,15 @@
 """Quality classifier by attention-based multiple-instance learning.
 
-A document is a bag of passages of ``PASSAGE`` words. Every passage is encoded from surface statistics, gated attention
-learned from the document labels weighs the passages, and the weighted representation is scored. The model is fitted in
-numpy on at most ``SAMPLE`` labelled documents, taken by a hash of the id, and scores all documents.
+A document is a bag of passages of ``PASSAGE`` words. Every passage is encoded from its words, as the mean of embeddings that
+are learned by hashed word, and from surface statistics. Gated attention learned from the document labels weighs the passages,
+and the weighted representation is scored. The model is fitted in numpy on at most ``SAMPLE`` labelled documents, taken by a
+hash of the id, and scores all documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,10 @@ PASSAGE = 64
 #: The most labelled documents that the model is fitted on.
 SAMPLE = 8000
 HIDDEN, GATE = 24, 16
+#: Words share embeddings by their hash; a word that was not learned from adds next to nothing.
+BUCKETS, EMBEDDING = 1 << 13, 8
+#: The share of documents that a step of the training sees without their words, so that statistics alone score unknown words.
+WORDLESS = 0.25
 EPOCHS, BATCH, RATE, DECAY = 30, 256, 0.01, 1e-4
 THRESHOLD = 0.7
 
@@ -37,8 +43,31 @@ _CLASSES = [_UPPER, _LOWER, _DIGIT, _OTHER, _is("!"), _is("?"), _is(".,;:"), _is
 FEATURES = len(_CLASSES) + 7
 
 
-def passages(b: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Features of all passages of a block, and the rows' offsets; a text without words has one empty passage."""
+@dataclass
+class Bags:
+    """Passages of some texts: their statistics, how many words each has, these words' buckets, and where each text's begin."""
+
+    x: np.ndarray
+    words: np.ndarray
+    buckets: np.ndarray
+    offsets: np.ndarray
+
+    @classmethod
+    def joined(cls, bags: list[Bags]) -> Bags:
+        sizes = np.concatenate([np.diff(b.offsets) for b in bags])
+        return cls(*(np.concatenate([getattr(b, k) for b in bags]) for k in ("x", "words", "buckets")), np.concatenate([[0], np.cumsum(sizes)]))
+
+    def wordless(self) -> Bags:
+        return Bags(self.x, np.zeros_like(self.words), self.buckets[:0], self.offsets)
+
+
+def passages(b: Block) -> Bags:
+    """All passages of a block; a text without words has one empty passage."""
+    x, words, offsets = _statistics(b)
+    return Bags(x, words, (b.hashes % np.uint64(BUCKETS)).astype(np.int16), offsets)
+
+
+def _statistics(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = np.diff(b.offsets)
     count = np.maximum(-(-n // PASSAGE), 1)
     offsets = np.concatenate([[0], np.cumsum(count)])
@@ -50,7 +79,7 @@ def passages(b: Block) -> tuple[np.ndarray, np.ndarray]:
     some = np.flatnonzero(words)
     out = np.zeros((len(row), FEATURES))
     if not len(some):
-        return out, offsets
+        return out, words, offsets
     # Bytes of a passage: from its first word to the next passage or the end of the text.
     start = b.starts[lo[some]]
     end = np.where(hi[some] < b.offsets[row[some] + 1], b.starts[np.minimum(hi[some], len(b.starts) - 1)], b.rows[row[some] + 1])
@@ -78,15 +107,26 @@ def passages(b: Block) -> tuple[np.ndarray, np.ndarray]:
     out[some, k + 4] = (closed[hi[some]] - closed[lo[some]]) / w
     out[some, k + 5] = w / PASSAGE
     out[:, k + 6] = np.log1p(n[row]) / 10
-    return out, offsets
+    return out, words, offsets
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces(batch):
-            x, offsets = passages(block(part.column("text")))
-            lists = pa.ListArray.from_arrays(pa.array((offsets * FEATURES).astype(np.int32)), pa.array(x.reshape(-1).astype(np.float32)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), lists], names=["doc_id", "quality", "x"])
+            bags = passages(block(part.column("text")))
+            starts = np.concatenate([[0], np.cumsum(bags.words)])[bags.offsets]
+            lists = lambda at, values: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values))
+            columns = lists(bags.offsets * FEATURES, bags.x.reshape(-1).astype(np.float32)), lists(bags.offsets, bags.words.astype(np.int32)), lists(starts, bags.buckets)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), *columns], names=["doc_id", "quality", "x", "words", "buckets"])
+
+
+def _encoded(m: dict, bags: Bags) -> np.ndarray:
+    """Statistics of passages beside the means of their words' embeddings."""
+    mean, some = np.zeros((len(bags.words), EMBEDDING)), bags.words > 0
+    if some.any():
+        first = np.cumsum(bags.words) - bags.words
+        mean[some] = np.add.reduceat(m["E"][bags.buckets], first[some], axis=0) / bags.words[some, None]
+    return np.concatenate([(bags.x - m["mean"]) / m["std"], mean], axis=1)
 
 
 def _forward(m: dict, x: np.ndarray, offsets: np.ndarray) -> tuple:
@@ -100,38 +140,38 @@ def _forward(m: dict, x: np.ndarray, offsets: np.ndarray) -> tuple:
     return 1 / (1 + np.exp(-np.clip(z @ m["c"] + m["d"], -30, 30))), (h, t, s, weight, row, z)
 
 
-def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 1) -> dict:
-    """Model of bags of passage features; without both labels it scores the share of label 1."""
+def fit(bags: list[Bags], labels: np.ndarray, seed: int = 1) -> dict:
+    """Model of single texts' bags; without both labels it scores the share of label 1."""
     rng = np.random.Generator(np.random.PCG64(seed))
     base = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3)) if len(labels) else 0.5
-    every = np.concatenate(bags) if bags else np.zeros((1, FEATURES))
-    mean, std = every.mean(axis=0), every.std(axis=0) + 1e-3
+    every = np.concatenate([b.x for b in bags]) if bags else np.zeros((1, FEATURES))
+    still = {"mean": every.mean(axis=0), "std": every.std(axis=0) + 1e-3}
     m = {
-        "W": rng.normal(0, FEATURES**-0.5, (FEATURES, HIDDEN)), "b": np.zeros(HIDDEN), "V": rng.normal(0, HIDDEN**-0.5, (HIDDEN, GATE)), "v": np.zeros(GATE),
+        "E": np.zeros((BUCKETS, EMBEDDING)), "W": rng.normal(0, FEATURES**-0.5, (FEATURES + EMBEDDING, HIDDEN)), "b": np.zeros(HIDDEN), "V": rng.normal(0, HIDDEN**-0.5, (HIDDEN, GATE)), "v": np.zeros(GATE),
         "U": rng.normal(0, HIDDEN**-0.5, (HIDDEN, GATE)), "u": np.zeros(GATE), "w": rng.normal(0, GATE**-0.5, GATE), "c": np.zeros(HIDDEN), "d": np.array(np.log(base / (1 - base))),
     }
     if len(np.unique(labels)) > 1:
         first, second = ({k: np.zeros_like(p) for k, p in m.items()} for _ in range(2))
         step = 0
-        scaled = [(x - mean) / std for x in bags]
         for epoch in range(EPOCHS):
             order = rng.permutation(len(bags))
             rate = RATE * 0.5 * (1 + np.cos(np.pi * epoch / EPOCHS))
             for lo in range(0, len(order), BATCH):
                 part = order[lo : lo + BATCH]
-                x = np.concatenate([scaled[i] for i in part])
-                offsets = np.concatenate([[0], np.cumsum([len(scaled[i]) for i in part])])
-                g = _gradient(m, x, offsets, labels[part])
+                left_out = rng.random(len(part)) < WORDLESS
+                seen = [bags[i].wordless() if out else bags[i] for i, out in zip(part, left_out, strict=True)]
+                g = _gradient(m | still, Bags.joined(seen), labels[part])
                 step += 1
                 for k in m:
                     g[k] = g[k] + DECAY * m[k]
                     first[k] = 0.9 * first[k] + 0.1 * g[k]
                     second[k] = 0.999 * second[k] + 0.001 * g[k] ** 2
                     m[k] = m[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-    return m | {"mean": mean, "std": std}
+    return m | still
 
 
-def _gradient(m: dict, x: np.ndarray, offsets: np.ndarray, y: np.ndarray) -> dict:
+def _gradient(m: dict, bags: Bags, y: np.ndarray) -> dict:
+    x, offsets = _encoded(m, bags), bags.offsets
     p, (h, t, s, weight, row, z) = _forward(m, x, offsets)
     dl = (p - y) / len(y)
     g = {"c": z.T @ dl, "d": dl.sum()}
@@ -144,28 +184,42 @@ def _gradient(m: dict, x: np.ndarray, offsets: np.ndarray, y: np.ndarray) -> dic
     dt, ds = dts * s * (1 - t**2), dts * t * s * (1 - s)
     g |= {"V": h.T @ dt, "v": dt.sum(axis=0), "U": h.T @ ds, "u": ds.sum(axis=0)}
     dh = (dh + dt @ m["V"].T + ds @ m["U"].T) * (1 - h**2)
+    dx = np.repeat(dh @ m["W"][FEATURES:].T / np.maximum(bags.words, 1)[:, None], bags.words, axis=0)
+    g["E"] = np.stack([np.bincount(bags.buckets, weights=dx[:, k], minlength=BUCKETS) for k in range(EMBEDDING)], axis=1)
     return g | {"W": x.T @ dh, "b": dh.sum(axis=0)}
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
-    """Fit on at most ``sample`` labelled documents. A document with several labels counts with the least."""
+    """Fit on at most ``sample`` labelled documents, with their whole texts.
+
+    A document with several labels counts with the least, an id with several texts with that of the least hash.
+    """
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # At most ``sample`` rows of two numbers.
     got = rows.join(F.broadcast(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))), "doc_id")
-    found = got.mapInArrow(_features, "doc_id long, quality int, x array<float>").toPandas().sort_values("doc_id", kind="stable")
-    bags = [np.asarray(x, np.float64).reshape(-1, FEATURES) for x in found["x"]]
+    once = got.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first")).select("doc_id", "quality", F.col("first.text").alias("text"))
+    found = once.mapInArrow(_features, "doc_id long, quality int, x array<float>, words array<int>, buckets array<short>").toPandas().sort_values("doc_id", kind="stable")
+    bags = [
+        Bags(np.asarray(x, np.float64).reshape(-1, FEATURES), np.asarray(n, np.int64), np.asarray(t, np.int16), np.array([0, len(n)]))
+        for x, n, t in zip(found["x"], found["words"], found["buckets"], strict=True)
+    ]
     return fit(bags, found["quality"].to_numpy().astype(np.float64))
 
 
+def probabilities(m: dict, texts: pa.Array) -> np.ndarray:
+    """The model's scores of texts; null counts as empty."""
+    bags = passages(block(texts))
+    return _forward(m, _encoded(m, bags), bags.offsets)[0]
+
+
 def _score(shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             for part in pieces(batch):
-                x, offsets = passages(block(part.column("text")))
-                p, _ = _forward(m, (x - m["mean"]) / m["std"], offsets)
+                p = probabilities(m, part.column("text"))
                 columns = [part.column(c) for c in part.schema.names if c != "text"]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=[*(c for c in part.schema.names if c != "text"), "score", "predicted"])
 
@@ -187,8 +241,7 @@ def _keep(shared) -> Callable:
         m = shared.value
         for batch in batches:
             for part in pieces(batch):
-                x, offsets = passages(block(part.column("text")))
-                p, _ = _forward(m, (x - m["mean"]) / m["std"], offsets)
+                p = probabilities(m, part.column("text"))
                 yield part.filter(pa.array(p >= THRESHOLD))
 
     return run
