@@ -200,12 +200,15 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     # At most ``sample`` rows of two numbers.
     got = rows.join(F.broadcast(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))), "doc_id")
     once = got.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first")).select("doc_id", "quality", F.col("first.text").alias("text"))
-    found = once.mapInArrow(_features, "doc_id long, quality int, x array<float>, words array<int>, buckets array<short>").toPandas().sort_values("doc_id", kind="stable")
-    bags = [
-        Bags(np.asarray(x, np.float64).reshape(-1, FEATURES), np.asarray(n, np.int64), np.asarray(t, np.int16), np.array([0, len(n)]))
-        for x, n, t in zip(found["x"], found["words"], found["buckets"], strict=True)
-    ]
-    return fit(bags, found["quality"].to_numpy().astype(np.float64))
+    found = once.mapInArrow(_features, "doc_id long, quality int, x array<float>, words array<int>, buckets array<short>").toArrow().sort_by("doc_id").combine_chunks()
+    x, n, t = (_rows(found.column(c)) for c in ("x", "words", "buckets"))
+    bags = [Bags(a.astype(np.float64).reshape(-1, FEATURES), b.astype(np.int64), c, np.array([0, len(b)])) for a, b, c in zip(x, n, t, strict=True)]
+    return fit(bags, found.column("quality").to_numpy().astype(np.float64))
+
+
+def _rows(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of a column as parts of one array."""
+    return [x for part in column.chunks for x in np.split(part.flatten().to_numpy(zero_copy_only=False), (part.offsets.to_numpy() - part.offsets[0].as_py())[1:-1])] if len(column) else []
 
 
 def probabilities(m: dict, texts: pa.Array) -> np.ndarray:
