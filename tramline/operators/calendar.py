@@ -17,23 +17,26 @@ def runs_on(date, days="days", start="start_date", end="end_date", additions="ad
     )
 
 
-def service_days(services: DataFrame) -> DataFrame:
-    """(service_id, date) of all days covered: weekdays in the span and additions, without exceptions that aren't additions."""
+def service_days(services: DataFrame, *more: str) -> DataFrame:
+    """(service_id, date) of all days covered: weekdays in the span and additions, without exceptions that aren't additions; ``more`` columns before the date."""
     span = F.when(F.col("start_date") <= F.col("end_date"), F.sequence("start_date", "end_date")).otherwise(F.array().cast("array<date>"))
     regular = F.filter(span, lambda d: F.coalesce(F.get(F.col("days"), F.weekday(d)), F.lit(False)))
     none = F.array().cast("array<date>")
     added = F.coalesce("additions", none)
     covered = F.array_union(F.array_except(F.coalesce(regular, none), F.coalesce("exceptions", none)), added)
-    return services.select("service_id", F.explode(covered).alias("date"))
+    return services.select("service_id", *more, F.explode(covered).alias("date"))
 
 
-def busiest(days: DataFrame) -> DataFrame:
-    """One row (best_day, n) of the date with most rows; the earliest of equals. No rows give none."""
-    return days.groupBy(F.col("date").alias("best_day")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "best_day").limit(1)
+def busiest(days: DataFrame, n: Column | None = None) -> DataFrame:
+    """One row (best_day, n) of the date with most rows, or the largest sum of ``n``; the earliest of equals. No rows give none."""
+    total = F.count("*") if n is None else F.sum(n)
+    return days.groupBy(F.col("date").alias("best_day")).agg(total.alias("n")).orderBy(F.desc("n"), "best_day").limit(1)
 
 
 def by_trips(service_of_trips: DataFrame, services: DataFrame) -> DataFrame:
-    return busiest(service_of_trips.join(service_days(services), "service_id"))
+    """The day with most trips. Trips are counted by service, and services meet their counts before they unfold into days, so no table of days is broadcast."""
+    trips = service_of_trips.groupBy("service_id").agg(F.count("*").alias("_trips"))
+    return busiest(service_days(services.hint("merge").join(trips.hint("merge"), "service_id"), "_trips"), F.col("_trips"))
 
 
 def by_services(services: DataFrame) -> DataFrame:
