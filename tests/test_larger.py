@@ -4,8 +4,11 @@ import datetime
 import os
 import random
 
+from pyspark.sql import functions as F
+
 from tramline import storage
-from tramline.operators import calendar, paths
+from tramline.operators import calendar, candidates, checks, paths
+from tramline.plans import registry
 
 
 def test_busiest_day_broadcasts_no_days(spark, tmp_path):
@@ -35,3 +38,21 @@ def test_search_by_joins_drops_old_tables(spark, monkeypatch):
     out = [tuple(r) for r in paths.paths(pairs, links, 10.0).collect()]
     assert out == [("l0", "l5", 4.0, ["l1", "l2", "l3", "l4"])]
     assert len({x for x in set(os.listdir(folder)) - before if x.startswith(("paths-", "frontier-"))}) <= 2
+
+
+def test_resampled_loses_no_point_to_rounding(spark):
+    """After a link of exactly 50 the next one starts at 50, whatever its own length; a route of no length has no point."""
+    ends = [(30.0 + a, 40.0 + b) for a in range(1, 15) for b in range(1, 15)]
+    rows = [x for i, (a, b) in enumerate(ends) for x in ((1, i, 1, 0.0, 0.0, 30.0, 40.0), (1, i, 2, 30.0, 40.0, a, b))] + [(2, 0, 1, 5.0, 5.0, 5.0, 5.0)]
+    points = spark.createDataFrame(rows, "line_id int, route_id int, idx int, fx double, fy double, tx double, ty double")
+    out = {(x["line_id"], x["route_id"]): x["at"] for x in checks.resampled(points, 50.0).groupBy("line_id", "route_id").agg(F.sort_array(F.collect_list("at")).alias("at")).collect()}
+    assert out == {(1, i): [0.0, 50.0] for i in range(len(ends))}
+
+
+def test_routes_of_no_length(spark, tmp_path):
+    """Stops 1 and 1001 lie at one place: SQL gives such a route with 0 points."""
+    tables = {"customer": "SELECT 1L AS c_custkey, 1 AS c_nationkey, 'BUILDING' AS c_mktsegment", "orders": "SELECT 1L AS o_orderkey, 1L AS o_custkey, timestamp'1996-01-01' AS o_orderdate",
+              "supplier": "SELECT id AS s_suppkey, 1 AS s_nationkey FROM range(1, 1002, 1000)", "lineitem": "SELECT 1L AS l_orderkey, id * 1000 - 999 AS l_suppkey, 1L AS l_partkey, cast(id AS int) AS l_linenumber FROM range(1, 3)"}
+    for name, sql in tables.items():
+        spark.sql(sql).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert [tuple(r) for r in registry.QUERIES["resampled_routes"](spark, str(tmp_path)).collect()] == [(1, 1, 0)]

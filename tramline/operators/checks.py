@@ -102,8 +102,10 @@ def resampled(route_points: DataFrame, step: float = 1.0) -> DataFrame:
     ``route_points``: line_id, route_id, idx, fx, fy, tx, ty.
     """
     size = G.distance("fx", "fy", "tx", "ty")
-    w = W.partitionBy("line_id", "route_id").orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
-    run = route_points.withColumn("_size", size).withColumn("_end", F.sum("_size").over(w)).withColumn("_start", F.col("_end") - F.col("_size"))
+    w = W.partitionBy("line_id", "route_id").orderBy("idx")
+    # A link starts at the very number where the one before ends: a difference of rounded sums may skip a point or repeat it.
+    run = route_points.withColumn("_size", size).withColumn("_end", F.sum("_size").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    run = run.withColumn("_start", F.coalesce(F.lag("_end").over(w), F.lit(0.0)))
     first, last = F.ceil(F.col("_start") / step), F.ceil(F.col("_end") / step) - 1
     each = run.where((F.col("_size") > 0) & (first <= last)).withColumn("_k", F.explode(F.sequence(first, last)))
     t = (F.col("_k") * step - F.col("_start")) / F.col("_size")
