@@ -56,3 +56,26 @@ def test_routes_of_no_length(spark, tmp_path):
     for name, sql in tables.items():
         spark.sql(sql).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert [tuple(r) for r in registry.QUERIES["resampled_routes"](spark, str(tmp_path)).collect()] == [(1, 1, 0)]
+
+
+def test_places_and_courses_are_searched_once(spark, monkeypatch):
+    """Copies of stops and links multiply the rows, not the distances that are computed."""
+    r, seen = random.Random(22), []
+    stops = spark.createDataFrame([(i, float(i % 7 * 3), float(i % 5 * 4)) for i in range(70)], "stop_id long, x double, y double")
+    rows = [(f"l{i}", *(float(r.randint(0, 30)) for _ in range(4))) for i in range(9)]
+    links = spark.createDataFrame([(f"{x}-{k}", *c) for x, *c in rows for k in range(6)], "link_id string, fx double, fy double, tx double, ty double")
+    plain = candidates.nearby(stops, links, 1e3)
+    first = {}
+    for x in sorted((tuple(x) for x in plain.collect()), key=lambda x: (x[0], x[2], not x[3], x[1])):
+        first.setdefault(x[0], x)
+    near = candidates.nearby(candidates.spots(stops), candidates.courses(links), 1e3)
+    whole = candidates.of_stops(candidates.of_links(near, links), stops)
+    assert near.count() == 35 * 9 and sorted(map(tuple, whole.collect())) == sorted(map(tuple, plain.collect()))
+    real = candidates.nearby
+    monkeypatch.setattr(candidates, "nearby", lambda s, x, radius: (seen.append((s.count(), x.count())), real(s, x, radius))[1])
+    assert sorted(tuple(x) for x in candidates.nearest(stops, links, 1e3).select("stop_id", "link_id", "d", "is_right").collect()) == sorted(first.values())
+    assert seen == [(35, 9)]
+    want = sorted(map(tuple, candidates.soft_top(plain.withColumn("d", F.round("d", 6))).collect()))
+    counted = near.join(candidates.courses(links).select("link_id", "n"), "link_id").withColumn("d", F.round("d", 6)).select("stop_id", "link_id", "d", "is_right", "n")
+    top = candidates.of_stops(candidates.of_links(candidates.soft_top(counted, n="n"), links), stops)
+    assert sorted(map(tuple, top.drop("n").collect())) == want
