@@ -3,12 +3,15 @@
 import datetime
 import os
 import random
+import re
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tramline import storage
 from tramline.operators import calendar, candidates, checks, paths
 from tramline.plans import registry
+from tramline.plans import views as V
 
 
 def test_busiest_day_broadcasts_no_days(spark, tmp_path):
@@ -79,3 +82,54 @@ def test_places_and_courses_are_searched_once(spark, monkeypatch):
     counted = near.join(candidates.courses(links).select("link_id", "n"), "link_id").withColumn("d", F.round("d", 6)).select("stop_id", "link_id", "d", "is_right", "n")
     top = candidates.of_stops(candidates.of_links(candidates.soft_top(counted, n="n"), links), stops)
     assert sorted(map(tuple, top.drop("n").collect())) == want
+
+
+def _plan(df):
+    """Nodes of the plan, the result's first."""
+    return [x.strip(" +-:*()0123456789").split("(")[0].split(" [")[0].strip() for x in df._jdf.queryExecution().executedPlan().toString().splitlines()]
+
+
+def test_stops_and_links_unfold_last(spark, tmp_path):
+    """Copies of stops and links pass through no exchange, sort or join as pairs: both lists meet first, then they unfold."""
+    spark.sql("SELECT id AS s_suppkey, 1 AS s_nationkey FROM (SELECT id + k * 1000 AS id FROM range(20) CROSS JOIN (SELECT id AS k FROM range(70)))").write.parquet(str(tmp_path / "supplier.parquet"))
+    seen = random.Random(24)
+    trips = [(t, seen.randrange(20) + seen.randrange(70) * 1000, seen.randrange(300), n) for t in range(150) for n in (1, 2, 2, 3, 5)]
+    spark.createDataFrame(trips, "l_orderkey long, l_suppkey long, l_partkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    out = registry.QUERIES["nearby_links"](spark, str(tmp_path))
+    nodes = _plan(out)
+    moved = next(i for i, x in enumerate(nodes) if "Exchange" in x or "Sort" in x or "Join" in x)
+    assert sum(x.startswith("Generate") for x in nodes[:moved]) == 2
+    plain = candidates.nearby(V.stops(spark, str(tmp_path)), V.links(spark, str(tmp_path)), 9.0).withColumn("d", F.round("d", 6))
+    rows = sorted(map(tuple, out.collect()))
+    assert len(rows) > 10000 and rows == sorted(map(tuple, plain.select(out.columns).collect()))
+
+
+def test_lists_hold_every_value(spark, monkeypatch):
+    """Keys with more values than a list may hold have several lists; null and repeated values stay."""
+    monkeypatch.setattr(candidates, "LISTED", 3)
+    rows = [("a", i) for i in range(10)] + [("a", None), ("a", 4), ("b", None), ("c", 7)]
+    lists = candidates.listed(spark.createDataFrame(rows, "k string, v int"), F.col("k"), "v").collect()
+    assert max(len(x["list"]) for x in lists) == 3 and sum(x["key"] == "a" for x in lists) == 4
+    assert sorted(((x["key"], v) for x in lists for v in x["list"]), key=str) == sorted(rows, key=str)
+
+
+def test_windows_along_trips_share_one_exchange(spark, tmp_path):
+    """Stop times are dealt and sorted once, and the next stop is found without another exchange."""
+    spark.sql("SELECT id % 9 AS l_orderkey, id % 4 AS l_suppkey, id AS l_partkey, cast(id % 5 AS int) AS l_linenumber FROM range(60)").write.parquet(str(tmp_path / "lineitem.parquet"))
+    nodes = _plan(V.stop_times(spark, str(tmp_path)).withColumn("next", F.lead("stop_id").over(W.partitionBy("trip_id").orderBy("seq"))))
+    assert sum(x.startswith("Exchange") for x in nodes) == 1 and sum(x.startswith("Sort") for x in nodes) == 1
+
+
+def test_grid_join_is_compiled_and_dealt(spark):
+    """The JVM compiles no method of over 8000 bytes, and AQE merges partitions by size: few links unfold into many cells."""
+    stops = spark.createDataFrame([(1, 0.0, 0.0)], "stop_id int, x double, y double")
+    links = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 1.0)], "link_id int, fx double, fy double, tx double, ty double")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        near = candidates.nearby(candidates.spots(stops), links, 9.0).withColumn("d", F.round("d", 6))
+        plan = near._jdf.queryExecution().executedPlan()
+        code = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenString(plan)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", code))) <= 8000
+    assert "REPARTITION_BY_NUM" in plan.toString()
